@@ -60,13 +60,12 @@ blog.ereat.example www.andthe.example haner.example thentha.example restion.exam
 _BLOCK_PATHS = ("", "/", "/win/bonus", "/free/spins", "/buy/cheap-pills", "/adult/video/1", "/click?id=1", "/track/pixel.gif", "/casino/slots")
 _ALLOW_PATHS = ("", "/", "/en/12", "/de/345.html", "/fr/67/", "/es/890", "/about", "/2019/05/story.html", "/articles/history", "/wiki/water")
 
-#: (URL, 1 for block): every host once, with a path of its side in turn.
+#: (URL, 1 for block): every host twice, with a path of its side and with an ordinary one, in turn; so the path alone weighs little.
 LABELLED: tuple[tuple[str, int], ...] = tuple(
     (f"http://{host}{paths[i % len(paths)]}", label)
-    for label, hosts, paths in ((1, _BLOCK_HOSTS, _BLOCK_PATHS), (0, _ALLOW_HOSTS, _ALLOW_PATHS))
+    for label, hosts, sides in ((1, _BLOCK_HOSTS, (_BLOCK_PATHS, _ALLOW_PATHS)), (0, _ALLOW_HOSTS, (_ALLOW_PATHS, _ALLOW_PATHS[::-1])))
+    for paths in sides
     for i, host in enumerate(hosts)
-) + tuple(
-    (f"http://{host}{path}", 0) for host, path in zip(_ALLOW_HOSTS, (p for _ in range(9) for p in reversed(_ALLOW_PATHS)), strict=False)
 )
 
 _CAPITALS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -107,7 +106,7 @@ class Model:
         return float(1 / (1 + np.exp(-(self.hosts[host] + self.side(_buckets(path, "p")) + self.offset))))
 
 
-def train(labelled: Sequence[tuple[str, int]] = LABELLED, rounds: int = 600, rate: float = 1.0, l2: float = 1e-3) -> Model:
+def train(labelled: Sequence[tuple[str, int]] = LABELLED, rounds: int = 1500, rate: float = 2.0, l2: float = 1e-4) -> Model:
     rows, columns, values = [], [], []
     for i, (url, _) in enumerate(labelled):
         for side in features(*split_url(url)):
