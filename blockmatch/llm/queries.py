@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from blockmatch.llm.exact_dedup import exact_dedup
 from blockmatch.llm.packing import pack
 from blockmatch.llm.url_filter import filter_urls
+from blockmatch.llm.warc import archive_report, read_archives, write_archives
+from blockmatch.storage import materialise, new_path
 
 URL_RULES = (
     ("allow", "com", "/"),
@@ -38,6 +40,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    write_archives(_table(spark, sf_dir, "pages"), path, min_bytes=0)
+    return archive_report(materialise(read_archives(spark, path), "read-back"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(_table(spark, sf_dir, "documents"), tokenizer_path())
     more = ["padded_length", "continued", "continues"]

@@ -7,4 +7,15 @@ SQL = {
                row_number() OVER (PARTITION BY t ORDER BY doc_id DESC) = 1 AS kept, sha256(t) AS text_sha256
         FROM d WINDOW g AS (PARTITION BY t)
     """,
+    "op6_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+        h AS (SELECT page_id, t, sha1(t) AS x, max(page_id) OVER (PARTITION BY t) AS top FROM p),
+        n AS (SELECT *, flatten([[(CAST('0x' || substr(x, 5 * i + 1, 5) AS BIGINT) >> s) & 31 FOR s IN [15, 10, 5, 0]]
+                                 FOR i IN range(8)]) AS five_bits FROM h)
+        SELECT page_id, octet_length(encode(t)) AS payload_bytes,
+               array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', k + 1, 1) FOR k IN five_bits], '') AS payload_digest,
+               CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> top THEN top END AS refers_to, CAST(NULL AS VARCHAR) AS problem
+        FROM n
+    """,
 }

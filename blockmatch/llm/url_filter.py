@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 
 BUCKETS = 1 << 16
 SIZES = (3, 4, 5)
-#: A URL is blocked from this probability on.
-THRESHOLD = 0.5
+#: A URL is blocked from this probability on; above a half, as most hosts are unknown to the small table.
+THRESHOLD = 0.7
 #: Host scores that one worker remembers at most.
 REMEMBERED = 200_000
 
