@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockmatch.llm.exact_dedup import exact_dedup
+from blockmatch.llm.near_dedup import near_dedup
 from blockmatch.llm.packing import pack
 from blockmatch.llm.url_filter import filter_urls
 from blockmatch.llm.warc import archive_report, read_archives, write_archives
@@ -32,6 +33,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents"), shingle=4, threshold=(80, 100))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 

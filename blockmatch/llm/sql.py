@@ -18,4 +18,18 @@ SQL = {
                CASE WHEN page_id <> top THEN top END AS refers_to, CAST(NULL AS VARCHAR) AS problem
         FROM n
     """,
+    "op1_near_dedup": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^ \\t\\n\\x0B\\f\\r]+') AS words FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+                ELSE list_distinct([array_to_string(words[i : i + 3], ' ') FOR i IN range(1, len(words) - 2)]) END AS shingles FROM w),
+        n AS (SELECT doc_id, len(shingles) AS n FROM s),
+        x AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM x a JOIN x b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 80 * (na.n + nb.n - common)),
+        r AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other),
+        c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+        SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)
+    """,
 }

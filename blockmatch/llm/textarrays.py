@@ -122,7 +122,7 @@ def shingle_hashes(w: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndar
     valid = np.arange(len(w)) + size <= last
     for m in range(1, size):
         at = first[:-1][counts == m]
-        h[at] = U64(m) * _COEF[size]
+        h[at] = U64(m * int(_COEF[size]) % (1 << 64))
         for k in range(m):
             h[at] += w[at + k] * _COEF[k]
         valid[at] = True
