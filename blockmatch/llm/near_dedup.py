@@ -45,38 +45,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blockmatch.llm.components import components
+from blockmatch.llm.minhash import SEED, circulant, scattered
 from blockmatch.llm.textarrays import U64, mix, pieces, text_shingles
 from blockmatch.storage import materialise, small
 
 COORDINATES = 128
 ROWS = 4
 BANDS = COORDINATES // ROWS
-BITS = 22
 FEW = 8
 BLOCK = 512
-SEED = 5
 
-_tables: tuple[np.ndarray, np.ndarray] | None = None
 _BAND = np.random.default_rng(SEED + 2).integers(1, 1 << 63, (1, BANDS, ROWS), dtype=np.uint64) * U64(2) + U64(1)
 _BAND_NUMBER = np.arange(1, BANDS + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)
 
 
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    """The scattering permutation, and all circular windows of the one that gives values."""
-    global _tables
-    if _tables is None:
-        rng = np.random.default_rng(SEED)
-        scatter = rng.permutation(1 << BITS).astype(np.uint32)
-        values = rng.permutation(1 << BITS).astype(np.uint32)
-        values = np.concatenate([values, values[: COORDINATES - 1]])
-        _tables = scatter, np.lib.stride_tricks.sliding_window_view(values, COORDINATES)
-    return _tables
-
-
 def signature(shingles: np.ndarray) -> np.ndarray:
     """All coordinates of a set that is not empty."""
-    scatter, windows = _permutations()
-    at = scatter[(shingles >> U64(64 - BITS)).astype(np.int64)]
+    windows = circulant(COORDINATES)
+    at = scattered(shingles)
     out = windows[at[:4096]].min(axis=0)
     for lo in range(4096, len(at), 4096):
         np.minimum(out, windows[at[lo : lo + 4096]].min(axis=0), out=out)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockmatch.llm import toxicity
+from blockmatch.llm.decontamination import contaminated, find_items
 from blockmatch.llm.exact_dedup import exact_dedup
 from blockmatch.llm.near_dedup import near_dedup
 from blockmatch.llm.packing import pack
@@ -45,6 +47,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), may_learn=~held_out())
+    scored = toxicity.score(docs, model)
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(_table(spark, sf_dir, "pages"), path, min_bytes=0)
@@ -57,6 +71,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", *more)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_items(docs, _table(spark, sf_dir, "benchmark"))
+    items = F.concat_ws(",", F.transform("hits", lambda h: h["item"].cast("string")))
+    return found.select("doc_id", F.size("hits").cast("long").alias("n_items"), items.alias("item_ids"), contaminated().alias("contaminated"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

@@ -32,4 +32,17 @@ SQL = {
         c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
         SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)
     """,
+    "op10_decontamination": """
+        WITH t AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+        w AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[^ \\t\\n\\x0B\\f\\r]+') AS words FROM t),
+        s AS (SELECT kind, id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                ELSE list_distinct([array_to_string(words[i : i + 4], ' ') FOR i IN range(1, len(words) - 3)]) END AS shingles FROM w),
+        d AS (SELECT id AS doc_id, unnest(shingles) AS shingle FROM s WHERE kind = 0),
+        b AS (SELECT id AS item_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s WHERE kind = 1),
+        h AS (SELECT doc_id, item_id FROM d JOIN b USING (shingle) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n),
+        g AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids FROM h GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids, n_items IS NOT NULL AS contaminated
+        FROM documents LEFT JOIN g USING (doc_id)
+    """,
 }
