@@ -12,6 +12,7 @@ from blockmatch.llm.decontamination import contaminated, find_items
 from blockmatch.llm.exact_dedup import exact_dedup
 from blockmatch.llm.near_dedup import near_dedup
 from blockmatch.llm.packing import pack
+from blockmatch.llm.pii import BASE, find_pii
 from blockmatch.llm.url_filter import filter_urls
 from blockmatch.llm.warc import archive_report, read_archives, write_archives
 from blockmatch.storage import materialise, new_path
@@ -47,6 +48,17 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def _listed(spans: Column) -> Column:
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+
+
 def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 

@@ -3,9 +3,10 @@
 A text's features are the hash buckets of the character n-grams of its distinct
 words (small letters, with word edges), each present or absent.  From a bounded
 sample of labelled texts every bucket gets the log ratio of its rates in both
-classes; a logistic regression is trained on the presences scaled by these
-ratios and by the root of the number of present buckets.  Ratio and weight are
-multiplied, so scoring adds up one number for each present bucket.
+classes, shrunk towards zero by its standard error: the rates of rare n-grams
+differ by chance.  A logistic regression is trained on the presences scaled by
+these ratios and by the root of the number of present buckets.  Ratio and weight
+are multiplied, so scoring adds up one number for each present bucket.
 
 The sample: of the labelled rows that may be learned from, the ``POSITIVES`` and
 ``NEGATIVES`` with the smallest hash of their id, and of their texts as many as
@@ -39,6 +40,8 @@ POSITIVES = 1500
 NEGATIVES = 3500
 FEATURES = 12_000_000
 LEAST_DOCS = 4
+#: Standard errors by which a bucket's log ratio is shrunk.
+ERRORS = 3.0
 THRESHOLD = 0.3
 #: Words whose buckets one worker remembers at most; longer words are not remembered.
 REMEMBERED = 250_000
@@ -81,7 +84,7 @@ class Model:
         return float(1 / (1 + np.exp(-min(max(z, -60.0), 60.0))))
 
 
-def fit(texts: list[np.ndarray], labels: list[int], rounds: int = 60, rate: float = 0.05, smooth: float = 1.0, block: int = 500) -> Model:
+def fit(texts: list[np.ndarray], labels: list[int], rounds: int = 600, rate: float = 0.05, smooth: float = 1.0, block: int = 500) -> Model:
     """The model for feature arrays and their labels."""
     y = np.array(labels, float)
     n, positives = len(y), int(y.sum())
@@ -92,7 +95,10 @@ def fit(texts: list[np.ndarray], labels: list[int], rounds: int = 60, rate: floa
     for x, label in zip(texts, labels, strict=True):
         counts[label, x] += 1
     ratio = np.log((counts[1] + smooth) / (positives + 2 * smooth)) - np.log((counts[0] + smooth) / (n - positives + 2 * smooth))
-    ratio[counts.sum(axis=0) < LEAST_DOCS] = 0
+    held, share = counts.sum(axis=0), positives / n
+    deviation = np.abs(counts[1] - held * share) / np.sqrt(np.maximum(held * share * (1 - share), 1e-9))
+    ratio *= np.maximum(deviation - ERRORS, 0) / np.maximum(deviation, 1e-9)
+    ratio[held < LEAST_DOCS] = 0
     weight = np.where(y == 1, 0.5 * (n - positives) / positives, 1.0)
     weight /= weight.sum()
     blocks = []
