@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from blockmatch.llm import toxicity
 from blockmatch.llm.decontamination import contaminated, find_items
 from blockmatch.llm.exact_dedup import exact_dedup
+from blockmatch.llm.html_text import extract_main_text
 from blockmatch.llm.near_dedup import near_dedup
 from blockmatch.llm.packing import pack
 from blockmatch.llm.pii import BASE, find_pii
@@ -83,6 +84,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", *more)
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_items(docs, _table(spark, sf_dir, "benchmark"))
