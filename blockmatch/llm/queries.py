@@ -14,6 +14,7 @@ from blockmatch.llm.html_text import extract_main_text
 from blockmatch.llm.near_dedup import near_dedup
 from blockmatch.llm.packing import pack
 from blockmatch.llm.pii import BASE, find_pii
+from blockmatch.llm.quality import KEEP_FROM, quality
 from blockmatch.llm.url_filter import filter_urls
 from blockmatch.llm.warc import archive_report, read_archives, write_archives
 from blockmatch.storage import materialise, new_path
@@ -88,6 +89,11 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, _ = quality(_table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "score", (F.col("score") >= KEEP_FROM).alias("kept"), "posterior")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_items(docs, _table(spark, sf_dir, "benchmark"))
