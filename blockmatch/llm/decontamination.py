@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from blockmatch.llm import caches
 from blockmatch.llm.minhash import BITS, circulant, scattered
 from blockmatch.llm.near_dedup import distinct
 from blockmatch.llm.textarrays import pieces, text_shingles
@@ -150,6 +151,7 @@ def find_items(docs: DataFrame, items: DataFrame, hits: str = "hits", text_col:
 
     def searching(index: Index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            caches.use("decontamination")
             for batch in batches:
                 for rows in pieces(batch, text_col):
                     found = index.search(rows.column(at), shingle, threshold)

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from blockmatch.llm import caches
 from blockmatch.llm.textarrays import pieces, raw
 from blockmatch.storage import materialise, small
 
@@ -89,6 +90,7 @@ def fingerprints(b: np.ndarray, offsets: np.ndarray, base: int, prime: int) -> n
 
 def _describe(with_text: bool, moduli: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.use("exact_dedup")
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in pieces(batch, "text"):

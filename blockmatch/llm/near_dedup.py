@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from blockmatch.llm import caches
 from blockmatch.llm.components import components
 from blockmatch.llm.minhash import SEED, circulant, scattered
 from blockmatch.llm.textarrays import U64, mix, pieces, text_shingles
@@ -90,6 +91,7 @@ def linked(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, t
 
 def _describe(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.use("near_dedup")
         for batch in batches:
             for rows in pieces(batch, "text"):
                 h, first = text_shingles(rows.column(1), size)

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from blockmatch.llm import caches
 from blockmatch.llm.textarrays import pieces
 from blockmatch.storage import materialise
 
@@ -37,6 +38,7 @@ END = 1
 REMEMBERED = 600_000
 
 _encoders: dict[str, Encoder] = {}
+caches.register("packing", _encoders.clear)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -135,6 +137,7 @@ def encoder(path: str, literal_specials: bool) -> Encoder:
 
 def _tokenise(path: str, end: int, literal_specials: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.use("packing")
         part, at = TaskContext.get().partitionId(), 0
         tool = encoder(path, literal_specials)
         last = np.array([end], tool.dtype).tobytes()

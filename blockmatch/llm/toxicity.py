@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from blockmatch.llm import caches
 from blockmatch.llm.textarrays import pieces
 
 BUCKETS = 1 << 18
@@ -44,31 +45,30 @@ LEAST_DOCS = 4
 ERRORS = 3.0
 THRESHOLD = 0.3
 #: Words whose buckets one worker remembers at most; longer words are not remembered.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 _LONG = 64
 
-_words: dict[str, np.ndarray] = {}
-_mark = np.zeros(BUCKETS, np.int32)
-
+class _Words(dict):
+    """Buckets of the words met, as bytes."""
 
-def _buckets(word: str) -> np.ndarray:
-    found = _words.get(word)
-    if found is None:
+    def __missing__(self, word: str) -> bytes:
         raw = f" {word} "
-        found = np.array([zlib.crc32(raw[i : i + n].encode("utf-8", "replace")) % BUCKETS for n in SIZES for i in range(len(raw) - n + 1)], np.int32)
+        found = np.array([zlib.crc32(raw[i : i + n].encode("utf-8", "replace")) % BUCKETS for n in SIZES for i in range(len(raw) - n + 1)], np.int32).tobytes()
         if len(word) <= _LONG:
-            if len(_words) >= REMEMBERED:
-                _words.clear()
-            _words[word] = found
-    return found
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_words = _Words()
+_mark = np.zeros(BUCKETS, np.int32)
+caches.register("toxicity", _words.clear)
 
 
 def features(text: str | None) -> np.ndarray:
     """The distinct buckets of a text."""
-    words = set((text or "").lower().split())
-    if not words:
-        return np.zeros(0, np.int32)
-    found = np.concatenate([_buckets(w) for w in words])
+    found = np.frombuffer(b"".join(map(_words.__getitem__, set((text or "").lower().split()))), np.int32)
     order = np.arange(len(found), dtype=np.int32)
     _mark[found] = order
     return found[_mark[found] == order]
@@ -137,6 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.use("toxicity")
         for batch in batches:
             for part in pieces(batch, "text"):
                 found = [features(t).tobytes() for t in part.column(2).to_pylist()]
@@ -165,6 +166,7 @@ def score(docs: DataFrame, model: Model, score_col: str = "score", text_col: str
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.use("toxicity")
         for batch in batches:
             for part in pieces(batch, text_col):
                 values = [model.score(t) for t in part.column(at).to_pylist()]
