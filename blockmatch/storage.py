@@ -8,8 +8,10 @@ survive lost executors, and are removed when the driver's Python ends.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,9 @@ from pyspark.sql import functions as F
 #: Rows of a join side that may be broadcast, times its bytes a row: at most this many bytes.
 BROADCAST_BYTES = 32 << 20
 
+#: Rows of an Arrow batch between the JVM and Python while tables are written: some megabytes of documents, not some dozens.
+ARROW_ROWS = 1024
+
 _made: dict[int, str] = {}
 
 
@@ -47,10 +52,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
+    """Smaller Arrow batches for the jobs run inside, unless the session has even smaller ones."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    if 0 < int(old) <= rows:
+        yield
+        return
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """The same rows, read back from a table in the shared folder."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with arrow_rows(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
