@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from blockmatch.llm import caches
 from blockmatch.llm.textarrays import pieces
+from blockmatch.storage import arrow_rows
 
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
@@ -143,7 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 found = [features(t).tobytes() for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1).cast(pa.int32()), pa.array(found, pa.binary())], ["id", "label", "found"])
 
-    sample = texts.mapInArrow(run, "id long, label int, found binary").toArrow()
+    with arrow_rows(docs.sparkSession):
+        sample = texts.mapInArrow(run, "id long, label int, found binary").toArrow()
     taken = np.argsort(sample["id"].to_numpy(), kind="stable")
     found = [np.frombuffer(x.as_buffer(), np.int32) for chunk in sample["found"].chunks for x in chunk]
     label = sample["label"].to_numpy()
