@@ -76,7 +76,9 @@ def test_ingest_and_scan_media(spark, path):
     files = media.contents(spark, path)
     held = ingest.ingest(files, BlockSet.empty(spark), ingest.Options(repository="r")).materialise()
     assert tuple(stats.sizes(held).first()) == (4, 4, 4, 4, 4)
-    assert sorted(r["filename"].rpartition("/")[2] for r in held.source_name.collect()) == ["image.raw", f"image.raw-{image().find(bytes([31, 139, 8]))}-gzip", f"image.raw-{image().find(b'PK' + bytes([3, 4]), 601)}-zip", "image.raw-600-zip"]
+    data = image()
+    second, zipped = data.find(b"PK\x03\x04", 601), data.find(b"\x1f\x8b\x08")
+    assert {r["filename"].rpartition("/")[2] for r in held.source_name.collect()} == {"image.raw", "image.raw-600-zip", f"image.raw-{second}-zip", f"image.raw-{zipped}-gzip"}
     source = held.source.where("filesize > 100").first()
     assert source["zero_count"] == 1
     again = ingest.ingest(files, held, ingest.Options(repository="r"))
