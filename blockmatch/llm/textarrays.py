@@ -16,7 +16,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 _SEED = 20240717
-_SPAN = 1 << 20
+_SPAN = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -63,7 +63,7 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return b, o - o[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most ``limit`` text bytes (a longer text stands alone)."""
     if not batch.num_rows:
         return
