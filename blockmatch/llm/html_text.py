@@ -10,7 +10,8 @@
    Slots in an article are the main text; without any on the page, those in
    another content landmark; without these, all slots outside of menus, headers
    and the like whose text changes from page to page.  A slot that shows the
-   same text on at least ``CONSTANT`` pages of the host is part of its template.
+   same text on at least ``CONSTANT`` pages of the host that differ in their
+   undecided texts is part of its template; copies of a page count once.
 
 Blocks are joined by line ends; white space inside them is one space, character
 references are decoded.
@@ -91,16 +92,21 @@ def _merge_table(table: pa.Table) -> pa.Table:
     return pa.table({"host": table["host"][:1], "expression": pa.array([merge(table["expression"].to_pylist())], pa.string())})
 
 
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
 def _slot_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of texts in undecided slots."""
+    """Hashes of texts in undecided slots, each with the hash of all such texts of its page."""
     for batch in batches:
         for part in pieces(batch, "html"):
             out = []
             for host, html, wrapper in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
                 found = slots(html, wrapper)
                 if {label for _, label, _ in found}.isdisjoint("ac"):
-                    out += [(host, place, xxhash.xxh3_64_intdigest(text) - (1 << 63)) for place, label, text in found if label == "u" and place >= 0]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], ["host", "place", "hash"])
+                    page = _hash("\n".join(text for _, label, text in found if label == "u"))
+                    out += [(host, place, page, _hash(text)) for place, label, text in found if label == "u" and place >= 0]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["host", "place", "page", "hash"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +135,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     pages = pages.withColumn("host", F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     wrappers = infer_wrappers(pages)
     undecided = wrappers.where(F.col("wrapper").contains('"#u"'))
-    shown = pages.join(small(undecided, 8192), "host").select("host", "html", "wrapper").mapInArrow(_slot_texts, "host string, place long, hash long")
-    constant = shown.groupBy("host", "place").agg(F.min("hash").alias("x"), F.max("hash").alias("y"), F.count("*").alias("n")).where(f"x = y and n >= {CONSTANT}")
+    shown = pages.join(small(undecided, 8192), "host").select("host", "html", "wrapper").mapInArrow(_slot_texts, "host string, place long, page long, hash long")
+    once = shown.groupBy("host", "place", "page").agg(F.min("hash").alias("x"), F.max("hash").alias("y"))
+    constant = once.groupBy("host", "place").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.count("*").alias("n")).where(f"x = y and n >= {CONSTANT}")
     template = constant.groupBy("host").agg(F.sort_array(F.collect_list("place")).alias("template"))
     known = materialise(wrappers.join(template, "host", "left"), "known-wrappers")
     rows = pages.join(small(known, 8192), "host").select("id", "url", "html", "wrapper", "template")

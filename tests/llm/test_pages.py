@@ -115,5 +115,15 @@ def test_template_slots_of_undecided_pages(spark):
     assert html_text.extract_main_text(pages(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("copies", [2, 3, 1000])
+def test_copies_of_a_page_keep_their_text(spark, copies):
+    page = "<div><p>Head</p><p>one story</p><h2>end</h2></div>"
+    rows = [(k, "http://copies.example/x", page) for k in range(copies)] + [(-1 - k, None, page) for k in range(copies)]
+    rows += [(5000 + k, "http://mixed.example/x", f"<div><p>Home</p><h2>{t}</h2></div>") for k, t in enumerate("abc")] + [(6000 + k, "http://mixed.example/y", "<div><p>Home</p><h2>d</h2><ol><li>own</li></ol></div>") for k in range(copies)]
+    out = {r["page_id"]: r["text"] for r in html_text.extract_main_text(pages(spark, rows)).collect()}
+    assert {out[k] for k in range(-copies, copies)} == {"Head\none story\nend"}
+    assert [out[5000 + k] for k in range(3)] == ["a", "b", "c"] and {out[6000 + k] for k in range(copies)} == {"d\nown"}
+
+
 def test_tokens_know_their_surroundings():
     assert [x for x in tokens("<nav><ul><li>m</ul></nav><p>t") if x[0][0] == "#"] == [("#b", ""), ("#u", "t")]
