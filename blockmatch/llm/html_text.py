@@ -7,11 +7,15 @@
    their distinct expressions, so a host with a third of all pages costs no more
    than its variety.
 3. Each page is matched to its host's wrapper, which gives every text a slot.
-   Slots in an article are the main text; without any on the page, those in
-   another content landmark; without these, all slots outside of menus, headers
-   and the like whose text changes from page to page.  A slot that shows the
-   same text on at least ``CONSTANT`` pages of the host that differ in their
-   undecided texts is part of its template; copies of a page count once.
+   A slot that shows the same text on at least ``CONSTANT`` pages of the host
+   that differ in the texts of its label is part of the host's template; copies
+   of a page count once.  All other slots outside of menus, headers and the like
+   vary or repeat, and are text.  Landmarks only say where to begin: an article,
+   else another content landmark, else the rest; a further region is added if it
+   has more than ``OUTER`` times the text found so far, so that a teaser in an
+   article does not stand for the story around it.  Template slots inside a
+   landmark stay if they are more than half of its text on the page: such pages
+   are near copies of each other, and not text within a frame.
 
 Blocks are joined by line ends; white space inside them is one space, character
 references are decoded.
@@ -32,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from blockmatch.llm.pagetokens import tokens
 from blockmatch.llm.textarrays import pieces
@@ -40,6 +45,9 @@ from blockmatch.storage import materialise, small
 
 PART = 1000
 CONSTANT = 3
+OUTER = 2
+
+_SLOTS = pa.list_(pa.struct([("place", pa.int64()), ("label", pa.string()), ("page", pa.int64()), ("hash", pa.int64()), ("text", pa.string())]))
 
 _ready: dict[str, Wrapper] = {}
 
@@ -67,9 +75,17 @@ def slots(html: str | None, wrapper: str) -> list[tuple[int, str, str]]:
 
 
 def main_text(found: list[tuple[int, str, str]], template: frozenset[int] = frozenset()) -> str:
-    labels = {label for _, label, _ in found}
-    use = next((x for x in "acu" if x in labels), None)
-    return "\n".join(text for place, label, text in found if label == use and not (use == "u" and place in template))
+    use, length = set(), 0
+    for region in "acu":
+        own = [(place, len(text)) for place, label, text in found if label == region]
+        varying = sum(n for place, n in own if place not in template)
+        if region != "u" and 2 * varying < (whole := sum(n for _, n in own)):
+            template -= {place for place, _ in own}
+            varying = whole
+        if varying > OUTER * length:
+            use.add(region)
+            length += varying
+    return "\n".join(text for place, label, text in found if label in use and place not in template)
 
 
 def _expressions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,25 +112,23 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def _slot_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of texts in undecided slots, each with the hash of all such texts of its page."""
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The slots of each page; a slot's page is the hash of all texts of its label on the page."""
     for batch in batches:
         for part in pieces(batch, "html"):
             out = []
-            for host, html, wrapper in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                found = slots(html, wrapper)
-                if {label for _, label, _ in found}.isdisjoint("ac"):
-                    page = _hash("\n".join(text for _, label, text in found if label == "u"))
-                    out += [(host, place, page, _hash(text)) for place, label, text in found if label == "u" and place >= 0]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["host", "place", "page", "hash"])
+            for html, wrapper in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
+                found = [x for x in slots(html, wrapper) if x[1] != "b"]
+                page = {region: _hash("\n".join(text for _, label, text in found if label == region)) for region in {label for _, label, _ in found}}
+                out.append([{"place": place, "label": label, "page": page[label], "hash": _hash(text), "text": text} for place, label, text in found])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(out, _SLOTS)], ["id", "url", "host", "slots"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces(batch, "html"):
-            rows = zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)
-            text = [main_text(slots(html, wrapper), frozenset(template or ())) for html, wrapper, template in rows]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string())], ["id", "url", "text"])
+        rows = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+        text = [main_text([(x["place"], x["label"], x["text"]) for x in found], frozenset(template or ())) for found, template in rows]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], ["id", "url", "text"])
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
@@ -134,12 +148,13 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     host = F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1)
     pages = pages.withColumn("host", F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     wrappers = infer_wrappers(pages)
-    undecided = wrappers.where(F.col("wrapper").contains('"#u"'))
-    shown = pages.join(small(undecided, 8192), "host").select("host", "html", "wrapper").mapInArrow(_slot_texts, "host string, place long, page long, hash long")
+    matched = pages.join(small(wrappers, 8192), "host").select("id", "url", "host", "html", "wrapper")
+    kinds = T.StructType([*pages.schema.fields[:2], T.StructField("host", T.StringType()), T.StructField("slots", from_arrow_type(_SLOTS))])
+    found = materialise(matched.mapInArrow(_found, kinds), "slots")
+    shown = found.select("host", F.explode("slots").alias("s")).where("s.place >= 0").select("host", "s.place", "s.page", "s.hash")
     once = shown.groupBy("host", "place", "page").agg(F.min("hash").alias("x"), F.max("hash").alias("y"))
     constant = once.groupBy("host", "place").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.count("*").alias("n")).where(f"x = y and n >= {CONSTANT}")
-    template = constant.groupBy("host").agg(F.sort_array(F.collect_list("place")).alias("template"))
-    known = materialise(wrappers.join(template, "host", "left"), "known-wrappers")
-    rows = pages.join(small(known, 8192), "host").select("id", "url", "html", "wrapper", "template")
+    template = materialise(constant.groupBy("host").agg(F.sort_array(F.collect_list("place")).alias("template")), "templates")
+    rows = found.join(small(template, 8192), "host", "left").select("id", "url", "slots", "template")
     out = rows.mapInArrow(_extract, T.StructType([*pages.schema.fields[:2], T.StructField("text", T.StringType())]))
     return out.withColumnsRenamed({"id": id_col, "url": url_col})

@@ -125,5 +125,16 @@ def test_copies_of_a_page_keep_their_text(spark, copies):
     assert [out[5000 + k] for k in range(3)] == ["a", "b", "c"] and {out[6000 + k] for k in range(copies)} == {"d\nown"}
 
 
+def test_wrappers_decide_inside_landmarks(spark):
+    story = "a long story of {0} that goes on for quite a while and says {0} again"
+    rows = [(k, "http://frame.example/x", f"<article><h1>{t}</h1><div>Follow us</div><p>{story.format(t)}</p></article>") for k, t in enumerate("abc")]
+    rows += [(10 + k, "http://teaser.example/x", f"<main><h1>{t}</h1><p>{story.format(t)}</p><article>more {t}</article></main>") for k, t in enumerate("abc")]
+    rows += [(20 + k, "http://near.example/x", f"<article><h1>same</h1><div>{story.format('it')}</div><p>read {k}</p></article>") for k in range(4)]
+    out = {r["page_id"]: r["text"] for r in html_text.extract_main_text(pages(spark, rows)).collect()}
+    assert [out[k] for k in range(3)] == [f"{t}\n{story.format(t)}" for t in "abc"]
+    assert all(story.format(t) in out[10 + k] for k, t in enumerate("abc"))
+    assert [out[20 + k] for k in range(4)] == [f"same\n{story.format('it')}\nread {k}" for k in range(4)]
+
+
 def test_tokens_know_their_surroundings():
     assert [x for x in tokens("<nav><ul><li>m</ul></nav><p>t") if x[0][0] == "#"] == [("#b", ""), ("#u", "t")]
