@@ -1,12 +1,14 @@
 """Benchmark decontamination: containment search for short items in long documents.
 
-Items are partitioned by the size of their shingle sets: class ``u`` holds the
-sizes above ``u / 2`` up to ``u``.  For each class that has items, a document is
-covered by windows of ``2 * u`` shingles, a step of ``u`` apart, so any passage
-of ``u`` shingles lies inside one window that is at most four times as large as
-the item.  The similarity of such a window to an item of which it holds 80 % is
-at least 0.19, and one equal MinHash coordinate of 64 is enough to make the item
-a candidate: a window misses it with probability below 2e-6.  Long documents
+Items of at most ``SMALLEST`` shingles are looked up exactly: each of their
+shingles that a document holds makes the item a candidate.  Larger items are
+partitioned by the size of their shingle sets: class ``u`` holds the sizes above
+``u / 2`` up to ``u``.  For each class that has items, a document is covered by
+windows of ``2 * u`` shingles, a step of ``u`` apart, so any passage of ``u``
+shingles lies inside one window that is at most four times as large as the item.
+The similarity of such a window to an item of which it holds 80 % is at least
+0.19, and one equal MinHash coordinate of 64 is enough to make the item a
+candidate: a window misses it with probability below 2e-6.  Long documents
 thus cost one signature per window, not one signature that short items could
 never match.  Candidates are verified by exact containment: the item's shingles
 that the whole document holds, in whole numbers.
@@ -36,7 +38,7 @@ from pyspark.sql import types as T
 from blockmatch.llm import caches
 from blockmatch.llm.minhash import BITS, circulant, scattered
 from blockmatch.llm.near_dedup import distinct
-from blockmatch.llm.textarrays import pieces, text_shingles
+from blockmatch.llm.textarrays import U64, pieces, text_shingles
 from blockmatch.storage import materialise
 
 COORDINATES = 64
@@ -49,25 +51,37 @@ HIT = T.StructType([T.StructField("item", T.LongType()), T.StructField("common",
 
 
 def size_class(n: int) -> int:
-    return max(SMALLEST, 1 << max(n - 1, 0).bit_length())
+    return 1 << max(n - 1, 0).bit_length()
 
 
 class Index:
-    """MinHash values of a block of items, by class, and the items' shingle sets."""
+    """MinHash values of a block of items, by class, shingles of its small items, and the items' shingle sets."""
 
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
         self.ids = [i for i, _ in items]
         self.sets = [np.frombuffer(s, np.uint64) for _, s in items]
         self.classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
+        self.small: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def build(self) -> None:
-        """Per class: for each value the coordinates at which an item has it, as bits; keys (coordinate, value) in order, and their items."""
+        """Per class: for each value the coordinates at which an item has it, as bits; keys (coordinate, value) in order, and their items.
+
+        Small items: whether a shingle's first bits are theirs; their shingles in order, the edges of each one's items, and these items.
+        """
         if self.classes is not None:
             return
         self.classes = {}
         windows, by = circulant(COORDINATES), {}
+        few = [k for k, s in enumerate(self.sets) if 0 < len(s) <= SMALLEST]
+        if few:
+            held = np.concatenate([self.sets[k] for k in few])
+            order = np.argsort(held, kind="stable")
+            keys, at = np.unique(held[order], return_index=True)
+            known = np.zeros(1 << BITS, bool)
+            known[keys >> U64(64 - BITS)] = True
+            self.small = known, keys, np.append(at, len(held)), np.repeat(np.array(few), [len(self.sets[k]) for k in few])[order]
         for k, s in enumerate(self.sets):
-            if len(s):
+            if len(s) > SMALLEST:
                 by.setdefault(size_class(len(s)), []).append(k)
         bit = np.uint64(1) << np.arange(COORDINATES, dtype=np.uint64)
         for u, members in by.items():
@@ -78,8 +92,19 @@ class Index:
             order = np.argsort(keys, kind="stable")
             self.classes[u] = mask, keys[order], np.repeat(np.array(members), COORDINATES)[order]
 
+    def small_candidates(self, shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Distinct (document, item) pairs, as rows of two, of small items that share a shingle."""
+        known, keys, edges, members = self.small
+        spot = np.flatnonzero(known[shingles >> U64(64 - BITS)])
+        at = np.minimum(np.searchsorted(keys, shingles[spot]), len(keys) - 1)
+        same = keys[at] == shingles[spot]
+        pairs = np.unique(np.column_stack([np.searchsorted(first, spot[same], "right") - 1, at[same]]), axis=0)
+        a, z = edges[pairs[:, 1]], edges[pairs[:, 1] + 1]
+        item = members[np.repeat(a - (np.cumsum(z - a) - (z - a)), z - a) + np.arange((z - a).sum())]
+        return np.unique(np.column_stack([np.repeat(pairs[:, 0], z - a), item]), axis=0)
+
     def candidates(self, shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Distinct (document, item) pairs, as rows of two, that share a coordinate in a window."""
+        """Distinct (document, item) pairs, as rows of two, that share a coordinate in a window, or a shingle of a small item."""
         counts = np.diff(first)
         parts = -(-counts // SMALLEST)
         edge = np.concatenate([[0], np.cumsum(parts)])
@@ -87,8 +112,9 @@ class Index:
         starts = np.repeat(first[:-1], parts) + rank * SMALLEST
         if not len(starts):
             return np.zeros((0, 2), np.int64)
-        least = np.minimum.reduceat(circulant(COORDINATES)[scattered(shingles)], starts, axis=0)
-        found = []
+        found = [self.small_candidates(shingles, first)] if self.small else []
+        if self.classes:
+            least = np.minimum.reduceat(circulant(COORDINATES)[scattered(shingles)], starts, axis=0)
         for u, (mask, keys, members) in self.classes.items():
             step = u // SMALLEST
             many = np.maximum(-(-parts // step) - (parts > step), np.minimum(parts, 1))

@@ -9,8 +9,9 @@ import pytest
 from helpers import documents, words
 
 from blockmatch.llm import pii, quality, queries, toxicity, url_filter
-from blockmatch.llm.decontamination import contaminated, find_items
+from blockmatch.llm.decontamination import Index, contaminated, find_items
 from blockmatch.llm.packing import Encoder, pack
+from blockmatch.llm.textarrays import text_shingles
 
 EDGE = [(1, None), (2, ""), (3, " "), (None, "one two"), (4, "one two"), (4, "one two")]
 
@@ -156,6 +157,17 @@ def docs_tokens(tool, text):
     return len(tool.encode([text])[0]) // 2 + 1
 
 
+@pytest.mark.parametrize("length", [5, 6, 8, 12])
+def test_smallest_items_are_all_found(length):
+    rng = random.Random(length)
+    items = [words(rng, length) for _ in range(1000)]
+    texts = [" ".join(item + words(rng, 60)) if k % 2 else " ".join(words(rng, 40) + item + words(rng, 40)) for k, item in enumerate(items)]
+    h, first = text_shingles(pa.array([" ".join(x) for x in items]), 5)
+    index = Index([(k, np.unique(h[a:z]).tobytes()) for k, (a, z) in enumerate(zip(first[:-1], first[1:], strict=True))])
+    found = index.search(pa.array(texts), 5, (80, 100))
+    assert [k for k, hits in enumerate(found) if k not in [x["item"] for x in hits]] == []
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     items = [(k, " ".join(words(rng, rng.choice([8, 20, 60])))) for k in range(40)] + [(100, None), (101, ""), (102, "one two"), (103, "other short")]
