@@ -12,7 +12,7 @@ from blockmatch.functions.features import block_features
 from blockmatch.operators import ingest, merge, scan, setops, stats
 from blockmatch.operators.blockset import BlockSet
 from blockmatch.operators.scan import ScanMode
-from blockmatch.plans.tables import block_set, events, flat, key, probes, repeated_probes, table
+from blockmatch.plans.tables import PAIR, WHOLE, block_set, events, flat, key, probes, repeated_probes, table, within
 from blockmatch.sources import lists
 from blockmatch.storage import new_path
 from blockmatch.streaming.scan_stream import ScanSession, scan_stream
@@ -21,6 +21,12 @@ from blockmatch.streaming.scan_stream import ScanSession, scan_stream
 RANGE = ("40", "80ffffffffffffffffffffffffffffff")
 REPOSITORY = "1-URGENT"
 ORDER = b"1"
+#: Queries over A alone, and over A and B.
+ONE_SET = (
+    "scan_list_expanded scan_optimized scan_count scan_approx_count find_hash find_source find_names hash_table duplicates histogram totals size sources "
+    "add_repository subtract_repository add_range repository_kinds export_hashes export_range import_json source_list_id"
+).split()
+TWO_SETS = "add add_multiple intersect intersect_hash subtract subtract_hash import_whitelist merge insert change_counts".split()
 
 
 def _hex() -> Column:
@@ -311,5 +317,11 @@ def q_stream_optimized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(_hex()).agg(F.count_if(full).alias("full"), F.count_if(~full).alias("bare"))
 
 
+def whole() -> dict[str, tuple[str, tuple[str, str]]]:
+    """Queries over sets that leave no line item out: the query each repeats, and its sets."""
+    return {f"q_whole_{x}": (f"q_{x}", cut) for names, cut in ((ONE_SET, WHOLE), (TWO_SETS, PAIR)) for x in names}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("q_") and callable(f)}
+    own = {k: f for k, f in globals().items() if k.startswith("q_") and callable(f)}
+    return own | {k: within(cut, own[name]) for k, (name, cut) in whole().items()}

@@ -6,7 +6,7 @@ which names them by their hashes.
 
 from __future__ import annotations
 
-from blockmatch.plans.queries import RANGE, REPOSITORY
+from blockmatch.plans.queries import RANGE, REPOSITORY, whole
 from blockmatch.plans.tables import IN_A, IN_B
 
 _SETS = f"""
@@ -145,4 +145,4 @@ SQL = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | {k: SQL[name].replace(f"WHERE {IN_A} ", f"WHERE {a} ").replace(f"WHERE {IN_B} ", f"WHERE {b} ") for k, (name, (a, b)) in whole().items() if name in SQL}

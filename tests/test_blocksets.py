@@ -214,3 +214,22 @@ def test_codecs(spark):
     counts = {r[0]: r[1] for r in spark.range(1, 1500).select("id", codec.approximate_count("id")).collect()}
     assert [counts[n] for n in (1, 15, 16, 19, 1494, 1495)] == [1, 15, 15, 15, 1370, 1495]
     assert all(counts[n] == n for n in range(1, 16)) and all(counts[n] <= counts[n + 1] for n in range(1, 1499))
+
+
+def test_whole_queries_leave_no_line_item_out(spark, tmp_path):
+    from blockmatch.plans.queries import queries, whole
+    from blockmatch.plans.sql import oracle_sql
+    from blockmatch.plans.tables import IN_A, IN_B
+
+    items = [(o, p, o % 7 + 1) for o in range(1, 61) for p in (o % 10 + 1, 15)]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = [(o, 1, "O", 10.5, "1-URGENT") for o in range(1, 61)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    every = queries()
+    assert every["q_whole_totals"](spark, str(tmp_path)).first()["total_hashes"] == len(items)
+    assert every["q_whole_import_json"](spark, str(tmp_path)).count() == len(items)
+    assert every["q_whole_merge"](spark, str(tmp_path)).count() == len(items)
+    assert every["q_totals"](spark, str(tmp_path)).first()["total_hashes"] < len(items)
+    sql = oracle_sql()
+    assert {n for n, s in sql.items() if IN_A in s} - {"q_import_tab"} <= {name for name, _ in whole().values()}  # it reads all line items
+    assert not any(IN_A in sql[n] or IN_B in sql[n] for n in whole() if n in sql)
