@@ -13,14 +13,19 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a join side that may be broadcast, times its bytes a row: at most this many bytes.
 BROADCAST_BYTES = 32 << 20
 
-#: Rows of an Arrow batch between the JVM and Python while tables are written: some megabytes of documents, not some dozens.
-ARROW_ROWS = 1024
+#: Settings while tables of whole texts are written, each a ceiling: rows and bytes of an Arrow batch between the JVM and
+#: Python, and rows of a batch of the Parquet reader, whose arrays grow to hold the texts of a batch end to end.
+LEAN = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 1024,
+    "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20,
+    "spark.sql.parquet.columnarReaderBatchSize": 512,
+}
 
 _made: dict[int, str] = {}
 
@@ -52,29 +57,45 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def go_lean(spark: SparkSession) -> dict[str, str]:
+    """The session's settings held down to ``LEAN``, and what they were."""
+    old = {}
+    for key, most in LEAN.items():
+        now = spark.conf.get(key)
+        if not 0 < _bytes(now) <= most:
+            old[key] = now
+            spark.conf.set(key, str(most))
+    return old
+
+
+def _bytes(value: str) -> int:
+    """A number that may have a unit such as ``64MB``; 0 where it is not one."""
+    number = value.rstrip("bB")
+    unit = "kmgt".find(number[-1:].lower()) + 1 if number else 0
+    number = number[:-1] if unit else number
+    return int(number) << 10 * unit if number.isdigit() else 0
+
+
 @contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
-    """Smaller Arrow batches for the jobs run inside, unless the session has even smaller ones."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key)
-    if 0 < int(old) <= rows:
-        yield
-        return
-    spark.conf.set(key, str(rows))
+def lean(spark: SparkSession) -> Iterator[None]:
+    """The ``LEAN`` settings for the jobs run inside."""
+    old = go_lean(spark)
     try:
         yield
     finally:
-        spark.conf.set(key, old)
+        for key, value in old.items():
+            spark.conf.set(key, value)
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """The same rows, read back from a table in the shared folder."""
     path = new_path(df.sparkSession, name)
-    with arrow_rows(df.sparkSession):
+    with lean(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows fit ``limit``; else unchanged, and Spark shuffles."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def small(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, counted at ``row_bytes`` each, fit ``limit``; else unchanged, and Spark shuffles."""
+    each = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes
+    return F.broadcast(df) if (df.agg(F.sum(each)).first()[0] or 0) <= limit else df
