@@ -2,10 +2,10 @@
 
 1. Every page becomes a token stream and its own folded expression.
 2. Distinct expressions of a host, found by an aggregation that combines before
-   it shuffles, are aligned to one wrapper: first in parts of at most about
-   ``PART`` expressions, then the parts' results.  Pages only count through
-   their distinct expressions, so a host with a third of all pages costs no more
-   than its variety.
+   it shuffles, are aligned to one wrapper: first in parts of about ``PART``
+   expressions, then ``FAN`` results at a time, level by level.  Pages only count
+   through their distinct expressions, so a host with a third of all pages costs
+   no more than its variety, and no task holds more than a part of that.
 3. Each page is matched to its host's wrapper, which gives every text a slot.
    A slot that shows the same text on at least ``CONSTANT`` pages of the host
    that differ in the texts of its label is part of the host's template; copies
@@ -44,6 +44,7 @@ from blockmatch.llm.wrappers import Wrapper, align, dumps, fold
 from blockmatch.storage import materialise, small
 
 PART = 1000
+FAN = 32
 CONSTANT = 3
 OUTER = 2
 
@@ -105,7 +106,7 @@ def merge(expressions: list[str]) -> str:
 
 
 def _merge_table(table: pa.Table) -> pa.Table:
-    return pa.table({"host": table["host"][:1], "expression": pa.array([merge(table["expression"].to_pylist())], pa.string())})
+    return pa.table({"host": table["host"][:1], "expression": pa.array([merge(table["expression"].to_pylist())], pa.string()), "part": table["part"][:1]})
 
 
 def _hash(text: str) -> int:
@@ -136,10 +137,14 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     text = "host string, expression string"
     kinds = materialise(pages.select("host", "html").mapInArrow(_expressions, text).groupBy("host", "expression").count().drop("count"), "expressions")
     parts = kinds.groupBy("host").agg(F.ceil(F.count("*") / PART).alias("parts"))
-    dealt = kinds.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("expression"), "parts"))
-    merged = dealt.groupBy("host", "part").applyInArrow(lambda t: _merge_table(t.select(["host", "expression"])), text)
-    whole = merged.groupBy("host").applyInArrow(_merge_table, text)
-    return materialise(whole.withColumnRenamed("expression", "wrapper"), "wrappers")
+    most = parts.agg(F.coalesce(F.max("parts"), F.lit(0))).first()[0]
+    found = kinds.join(parts, "host").select("host", "expression", F.pmod(F.xxhash64("expression"), "parts").alias("part"))
+    while True:
+        found = found.groupBy("host", "part").applyInArrow(_merge_table, text + ", part long")
+        if most <= 1:
+            return materialise(found.select("host", F.col("expression").alias("wrapper")), "wrappers")
+        most = -(-most // FAN)
+        found = found.withColumn("part", F.expr(f"part div {FAN}"))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -148,13 +153,13 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     host = F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1)
     pages = pages.withColumn("host", F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     wrappers = infer_wrappers(pages)
-    matched = pages.join(small(wrappers, 8192), "host").select("id", "url", "host", "html", "wrapper")
+    matched = pages.join(small(wrappers, F.length("wrapper") + F.length("host")), "host").select("id", "url", "host", "html", "wrapper")
     kinds = T.StructType([*pages.schema.fields[:2], T.StructField("host", T.StringType()), T.StructField("slots", from_arrow_type(_SLOTS))])
     found = materialise(matched.mapInArrow(_found, kinds), "slots")
     shown = found.select("host", F.explode("slots").alias("s")).where("s.place >= 0").select("host", "s.place", "s.page", "s.hash")
     once = shown.groupBy("host", "place", "page").agg(F.min("hash").alias("x"), F.max("hash").alias("y"))
     constant = once.groupBy("host", "place").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.count("*").alias("n")).where(f"x = y and n >= {CONSTANT}")
     template = materialise(constant.groupBy("host").agg(F.sort_array(F.collect_list("place")).alias("template")), "templates")
-    rows = found.join(small(template, 8192), "host", "left").select("id", "url", "slots", "template")
+    rows = found.join(small(template, F.size("template") * 8 + F.length("host")), "host", "left").select("id", "url", "slots", "template")
     out = rows.mapInArrow(_extract, T.StructType([*pages.schema.fields[:2], T.StructField("text", T.StringType())]))
     return out.withColumnsRenamed({"id": id_col, "url": url_col})

@@ -12,13 +12,14 @@ comments and other elements that are not the page's text.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect
+from collections import Counter, defaultdict
 from html import unescape
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
     r"|<(?P<raw>script|style|title|textarea|iframe|xmp|noembed|noframes)(?=[\s/>]).*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*/?>|[^<>]*>)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>|[^<>]*>)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -77,11 +78,15 @@ def tokens(html: str | None) -> list[tuple[str, str | None]]:
     """(symbol, text) of a page; the symbol of a text is ``#`` and its label, tags have no text."""
     html = html or ""
     out: list[tuple[str, str | None]] = []
-    stack: list[tuple[str, str, str, bool]] = []  # name, role, symbol, whether its end tag never comes
+    stack: list[tuple[str, str, str]] = []  # name, role, symbol
     depth = Counter()
     ends = Counter(m["name"].lower() for m in _TOKEN.finditer(html) if m["end"])
     kept: list[str] = []
     dropped = False
+    # Places in the stack: of each name, of all that aren't inline, of skipped elements whose end tag never comes.
+    places: dict[str, list[int]] = defaultdict(list)
+    blocks: list[int] = []
+    loose: list[int] = []
 
     def label() -> str:
         return "b" if depth["b"] else "a" if depth["a"] else "c" if depth["c"] else "u"
@@ -98,7 +103,11 @@ def tokens(html: str | None) -> list[tuple[str, str | None]]:
     def close(k: int) -> None:
         """End all elements from the k-th open one on."""
         while len(stack) > k:
-            name, role, symbol, _ = stack.pop()
+            name, role, symbol = stack.pop()
+            places[name].pop()
+            for marked in (blocks, loose):
+                if marked and marked[-1] == len(stack):
+                    marked.pop()
             if name not in _INLINE and name not in _SHORT:
                 flush_under(symbol)
             if role:
@@ -129,9 +138,9 @@ def tokens(html: str | None) -> list[tuple[str, str | None]]:
             continue
         if m["end"]:
             ends[name] -= 1
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
-            if k >= 0:
-                if any(x[0] not in _INLINE for x in stack[k:]):
+            if places[name]:
+                k = places[name][-1]
+                if blocks and blocks[-1] >= k:
                     flush()
                 close(k)
             elif name not in _INLINE:
@@ -140,20 +149,16 @@ def tokens(html: str | None) -> list[tuple[str, str | None]]:
         inline = name in _INLINE
         if not inline:
             flush()
-            if name in _SECTION:
-                loose = next((k for k, x in enumerate(stack) if x[1] == "b" and x[3]), -1)
-                if loose >= 0:
-                    close(loose)
-            if stack:
-                top = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in _INLINE), -1)
-                if top >= 0 and stack[top][0] == "p":
-                    close(top)
+            if name in _SECTION and loose:
+                close(loose[0])
+            if blocks and stack[blocks[-1]][0] == "p":
+                close(blocks[-1])
             if name in _IMPLIED:
                 same, limit = _IMPLIED[name]
-                low = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in limit), -1)
-                k = next((k for k in range(low + 1, len(stack)) if stack[k][0] in same), -1)
-                if k >= 0:
-                    close(k)
+                low = max((places[x][-1] for x in limit if places[x]), default=-1)
+                first = [places[x][bisect(places[x], low)] for x in same if places[x] and places[x][-1] > low]
+                if first:
+                    close(min(first))
         elif name == "br":
             text(" ")
         role, symbol = _role(name, m["rest"])
@@ -167,7 +172,12 @@ def tokens(html: str | None) -> list[tuple[str, str | None]]:
             out.append((symbol, None))
         if role:
             depth[role] += 1
-        stack.append((name, role, symbol, ends[name] <= 0))
+        places[name].append(len(stack))
+        if not inline:
+            blocks.append(len(stack))
+        if role == "b" and ends[name] <= 0:
+            loose.append(len(stack))
+        stack.append((name, role, symbol))
     text(html[at:])
     flush()
     return out

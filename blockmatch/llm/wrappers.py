@@ -15,11 +15,15 @@ match takes time in proportion to the page and never backtracks.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
+from collections import Counter
 
 Part = str | list
 
 #: Longest group of parts that is looked for as a repeat.
 LONGEST = 16
+#: Cells of a table of common subsequences.
+CELLS = 250_000
 
 
 def _is(part: Part, kind: str) -> bool:
@@ -80,7 +84,13 @@ def _optional(parts: list[Part]) -> list[Part]:
 
 def _unfold(a: list[Part], b: list[Part]) -> list[Part]:
     """``a`` with plain occurrences of ``b``'s repeated and optional groups made such groups too."""
-    for kind, body in [p for p in b if isinstance(p, list)]:
+    done = set()
+    plain = {p for p in a if isinstance(p, str)}
+    for group in b:
+        if isinstance(group, str) or (isinstance(group[1][0], str) and group[1][0] not in plain) or (text := dumps([group])) in done:
+            continue
+        done.add(text)
+        kind, body = group
         out, i = [], 0
         while i < len(a):
             if a[i] == body[0] and a[i : i + len(body)] == body:
@@ -93,8 +103,41 @@ def _unfold(a: list[Part], b: list[Part]) -> list[Part]:
     return a
 
 
+def _key(part: Part) -> str:
+    """Equal for parts that are alike."""
+    if isinstance(part, str):
+        return part
+    first = part[1][0]
+    return f"{part[0]} {_key(first)}" if part[0] == "?" or isinstance(first, str) else dumps([part])
+
+
+def _anchors(x: list[Part], y: list[Part]) -> list[tuple[int, int]]:
+    """Places of parts that occur once in both, as many as are in the same order in both."""
+    keys = [_key(p) for p in x], [_key(p) for p in y]
+    once = [{k for k, n in Counter(own).items() if n == 1} for own in keys]
+    both = once[0] & once[1]
+    at = {k: j for j, k in enumerate(keys[1]) if k in both}
+    pairs = [(i, at[k]) for i, k in enumerate(keys[0]) if k in both]
+    # Longest increasing run of places in y, by piles.
+    tops, piles, before = [], [], [-1] * len(pairs)
+    for n, (_, j) in enumerate(pairs):
+        k = bisect_left(tops, j)
+        before[n] = piles[k - 1] if k else -1
+        tops[k:] = [j] if k == len(tops) else [j, *tops[k + 1 :]]
+        piles[k:] = [n] if k == len(piles) else [n, *piles[k + 1 :]]
+    out, n = [], piles[-1] if piles else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
+
+
 def align(a: list[Part], b: list[Part]) -> list[Part]:
-    """An expression whose language holds both."""
+    """An expression whose language holds both.
+
+    Of two long sequences, places where a part occurs once in both are found first, and what lies between them is aligned by
+    longest common subsequences of at most ``CELLS`` cells; without such places it is taken as a mismatch.
+    """
     if a == b:
         return a
     a, b = _unfold(a, b), _unfold(b, a)
@@ -106,8 +149,27 @@ def align(a: list[Part], b: list[Part]) -> list[Part]:
         tail += 1
     before = [_joined(x, y) for x, y in zip(a[:head], b[:head], strict=True)]
     after = [_joined(x, y) for x, y in zip(a[len(a) - tail :], b[len(b) - tail :], strict=True)]
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    # Longest common subsequence of the rest.
+    return before + _middle(a[head : len(a) - tail], b[head : len(b) - tail]) + after
+
+
+def _middle(x: list[Part], y: list[Part]) -> list[Part]:
+    if len(x) * len(y) <= CELLS:
+        return _common(x, y)
+    found = _anchors(x, y)
+    if not found:
+        return _optional(x) + _optional(y)
+    out: list[Part] = []
+    i = j = 0
+    for p, q in [*found, (len(x), len(y))]:
+        out += _middle(x[i:p], y[j:q])
+        if p < len(x):
+            out.append(_joined(x[p], y[q]))
+        i, j = p + 1, q + 1
+    return out
+
+
+def _common(x: list[Part], y: list[Part]) -> list[Part]:
+    """Aligned by a longest common subsequence."""
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
         row, below = best[i], best[i + 1]
@@ -138,7 +200,7 @@ def align(a: list[Part], b: list[Part]) -> list[Part]:
     only_x += x[i:]
     only_y += y[j:]
     mismatch()
-    return before + middle + after
+    return middle
 
 
 def dumps(parts: list[Part]) -> str:

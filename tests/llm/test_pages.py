@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from blockmatch.llm import html_text, warc
+from blockmatch.llm import html_text, warc, wrappers
 from blockmatch.llm.pagetokens import tokens
 from blockmatch.llm.wrappers import Wrapper, align, dumps, fold
 
@@ -138,3 +138,69 @@ def test_wrappers_decide_inside_landmarks(spark):
 
 def test_tokens_know_their_surroundings():
     assert [x for x in tokens("<nav><ul><li>m</ul></nav><p>t") if x[0][0] == "#"] == [("#b", ""), ("#u", "t")]
+
+
+def plain_main_text(pages):
+    """Main texts by an aligner of its own kind: slots are told by the tags around a text, for pages of one shape."""
+    out = {}
+    for host in {p[1] for p in pages}:
+        own = [p for p in pages if p[1] == host]
+        slots = {k: {p[2][k] for p in own} for k in range(len(own[0][2]))}
+        for i, _, parts in own:
+            out[i] = "\n".join(t for k, t in enumerate(parts) if len(slots[k]) > 1)
+    return out
+
+
+def test_main_text_equals_a_plain_version(spark):
+    """Pages without landmarks: of every host the slots that vary are text, whatever stands where."""
+    rng = random.Random(9)
+    plain, rows = [], []
+    for h in range(12):
+        tags = [f"{rng.choice(['div', 'section', 'td'])} class=x{chr(97 + k)}" for k in range(rng.randrange(3, 9))]
+        fixed = {k: f"frame {h} {k}" for k in range(len(tags)) if rng.random() < 0.5}
+        for n in range(rng.randrange(4, 9)):
+            texts = [fixed.get(k, f"story {h} {n} {k}") for k in range(len(tags))]
+            i = 100 * h + n
+            plain.append((i, h, texts))
+            rows.append((i, f"http://h{h}.example/{n}", "".join(f"<{t}>{x}</{t.split()[0]}>" for t, x in zip(tags, texts, strict=True))))
+    rows += rows[:5]
+    out = [(r["page_id"], r["text"]) for r in html_text.extract_main_text(pages(spark, rows)).collect()]
+    want = plain_main_text(plain)
+    assert len(out) == len(rows) and [(i, t) for i, t in out if want[i] != t] == []
+    whole = {i: "\n".join(x) for i, _, x in plain}
+    assert sum(want[i] != whole[i] for i in want) > 30  # without wrappers, the frames would stay
+
+
+def test_long_and_broken_pages(spark):
+    """Pages of more than a megabyte, and such as are only open or stray tags, end in a bounded time."""
+    story = "".join(f"<h2>part {k}</h2><p>sentence {k} of it</p>" for k in range(30_000))
+    other = "".join(f"<p>line {k}</p><div class=q>{k}</div>" for k in range(20_000))
+    rows = [(1, "http://l.example/1", f"<article>{story}</article>"), (2, "http://l.example/2", f"<article>{other}</article>"), (3, "http://l.example/3", "<div>" * 20_000 + "a" + "</span></p>" * 20_000)]
+    rows += [(4, "http://l.example/4", '<a "' * 20_000), (5, "http://l.example/5", "<li><div>" * 10_000 + "end"), (1, "http://l.example/1", f"<article>{story}</article>")]
+    out = [(r["page_id"], r["text"]) for r in html_text.extract_main_text(pages(spark, rows)).collect()]
+    found = dict(out)
+    assert len(out) == 6 and len([x for x in out if x[0] == 1]) == 2
+    assert found[1].split("\n")[:3] == ["part 0", "sentence 0 of it", "part 1"] and found[1].count("\n") == 59_999 and found[2].count("\n") == 39_999
+    assert found[3] == "a" and found[5] == "end"
+
+
+def test_alignment_of_long_sequences(monkeypatch):
+    """What lies between anchors is aligned as short sequences are, and the wrapper holds both sides."""
+    rng = random.Random(10)
+    for _ in range(300):
+        x, y = ([rng.choice("abcdefghijklm") for _ in range(rng.randrange(1, 30))] for _ in range(2))
+        monkeypatch.setattr(wrappers, "CELLS", rng.choice([0, 4, 50]))
+        found = Wrapper(align(fold(x), fold(y)))
+        assert found.match(x) is not None and found.match(y) is not None
+    monkeypatch.setattr(wrappers, "CELLS", 0)
+    assert align([*"axb"], [*"ayb"]) == ["a", ["?", ["x"]], ["?", ["y"]], "b"]
+    assert align([*"xqay"], [*"zaqw"]) in ([["?", ["x"]], ["?", ["z", "a"]], "q", ["?", ["a", "y"]], ["?", ["w"]]], [["?", ["x", "q"]], ["?", ["z"]], "a", ["?", ["y"]], ["?", ["q", "w"]]])
+
+
+@pytest.mark.parametrize(("part", "fan"), [(1, 2), (3, 32)])
+def test_wrappers_of_many_parts(spark, monkeypatch, part, fan):
+    monkeypatch.setattr(html_text, "PART", part)
+    monkeypatch.setattr(html_text, "FAN", fan)
+    rows = [(k, "http://many.example/x", f"<div><p>Home</p>{'<h2>a</h2>' * (k % 5)}{'<ol><li>b</ol>' * (k % 7 > 3)}<p>{k} text</p></div>") for k in range(40)]
+    made = html_text.infer_wrappers(spark.createDataFrame([("many.example", r[2]) for r in rows], "host string, html string")).collect()
+    assert len(made) == 1 and all(Wrapper(json.loads(made[0]["wrapper"])).match([s for s, _ in tokens(h)]) is not None for _, _, h in rows)
