@@ -11,8 +11,8 @@ patterns' posteriors follow.  No gold label is used.
 The scorer is a logistic regression on hashed features of the text itself: the
 shapes of its words (letters, capitals, digits and signs with runs folded), of
 word pairs, and how much repeats.  It is trained on the posteriors of the
-``SAMPLE`` texts with the smallest hash of their id and gives every whole text a
-score.
+``SAMPLE`` texts with the smallest hash of their id, of one row each and as many
+as have ``FEATURES`` features together, and gives every whole text a score.
 
 Defined results: a null or empty text, or one without words, makes all labellers
 abstain, and scores the model's offset with the features of an empty text;
@@ -30,11 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from blockmatch.llm.textarrays import U64, pieces, raw, shingle_hashes, word_bounds, word_hashes
+from blockmatch.storage import materialise
 
 BUCKETS = 1 << 16
 SAMPLE = 6000
+FEATURES = 3_000_000
 KEEP_FROM = 0.5
 #: Word runs whose repetition is measured.
 RUN = 8
@@ -248,15 +251,18 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
     def describing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                votes = pattern(vote(part.column(0))).tolist()
-                bucket, value, start = Measures(part.column(0)).features()
+                votes = pattern(vote(part.column(1))).tolist()
+                bucket, value, start = Measures(part.column(1)).features()
                 rows = [_merged(bucket[lo:hi], value[lo:hi]) for lo, hi in zip(start[:-1], start[1:], strict=True)]
-                columns = [pa.array([r[0].astype(np.int32).tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([model.posteriors[v] for v in votes])]
-                yield pa.RecordBatch.from_arrays(columns, ["buckets", "values", "target"])
-
-    # The smallest hashes: ids first, then the texts of these few.
-    ids = F.broadcast(docs.select("id").where(F.col("id").isNotNull()).distinct().orderBy(F.xxhash64("id"), "id").limit(sample))
-    chosen = docs.join(ids, "id").select("text").mapInArrow(describing, "buckets binary, values binary, target double").toArrow()
+                columns = [part.column(0), pa.array([len(r[0]) for r in rows], pa.int64()), pa.array([r[0].astype(np.int32).tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([model.posteriors[v] for v in votes], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, ["order", "n", "buckets", "values", "target"])
+
+    # The smallest hashes: ids first, then the texts of these few, one for each id; what is beyond the bound on features stays in the table.
+    ids = F.broadcast(docs.select("id").where(F.col("id").isNotNull()).distinct().select("id", F.xxhash64("id").alias("order")).orderBy("order", "id").limit(sample))
+    described = docs.join(ids, "id").select("order", "text").mapInArrow(describing, "order long, n long, buckets binary, values binary, target double")
+    described = materialise(described.groupBy("order").agg(F.min(F.struct("n", "buckets", "values", "target")).alias("x")).select("order", "x.*"), "quality-sample")
+    use = described.select("order", F.sum("n").over(Window.orderBy("order")).alias("total")).where(F.col("total") <= FEATURES)
+    chosen = described.join(F.broadcast(use.select("order")), "order", "left_semi").orderBy("order").toArrow()
     rows = [(np.frombuffer(x.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float64), t.as_py()) for x, v, t in zip(*(chosen[c] for c in ("buckets", "values", "target")), strict=True)]
     weights, offset = fit_scorer(rows)
 
