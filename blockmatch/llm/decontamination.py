@@ -13,16 +13,19 @@ thus cost one signature per window, not one signature that short items could
 never match.  Candidates are verified by exact containment: the item's shingles
 that the whole document holds, in whole numbers.
 
-The benchmark is read in blocks of bounded size; each block's index goes to the
-executors with the function, and documents stream past it.  A benchmark of more
-than one block costs one further pass in the same stage for each.
+The benchmark is read in blocks of bounded size; each block's sets go to the
+executors with the function, where each worker builds its index, and documents
+stream past it.  A benchmark of more than one block costs one further pass over
+the documents for each, with the hits so far in a written table, so driver and
+executors hold one block at a time whatever the benchmark's size.
 
 Defined results: a null or empty text, or one without words, holds nothing, and
 such an item is found nowhere; an item with fewer words than a shingle is its
 whole sequence, and found only in documents that are that sequence; repeated
 items are found each; null ids are kept; an empty table of documents gives an
-empty result, an empty benchmark no hits; all columns of the documents pass
-through, and the column of hits is the caller's to name.
+empty result, an empty benchmark no hits; ids may be of any type that can be
+sorted; all columns of the documents pass through but one that has the name
+asked for the hits, which is replaced.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from blockmatch.llm import caches
 from blockmatch.llm.minhash import BITS, circulant, scattered
@@ -47,24 +51,30 @@ SMALLEST = 8
 BLOCK_SHINGLES = 1 << 20
 _RUN = 1 << 15
 
-HIT = T.StructType([T.StructField("item", T.LongType()), T.StructField("common", T.LongType()), T.StructField("size", T.LongType())])
+#: Bits of the filter that tells which (coordinate, value) pairs a class may have.
+_FILTER = 22
 
 
 def size_class(n: int) -> int:
     return 1 << max(n - 1, 0).bit_length()
 
 
+def _spots(signatures: np.ndarray) -> np.ndarray:
+    """Where each coordinate's value is in the filter."""
+    return (signatures + np.arange(COORDINATES, dtype=np.uint32) * np.uint32(0x9E3779B1)) & np.uint32((1 << _FILTER) - 1)
+
+
 class Index:
     """MinHash values of a block of items, by class, shingles of its small items, and the items' shingle sets."""
 
-    def __init__(self, items: list[tuple[int, bytes]]) -> None:
+    def __init__(self, items: list[tuple[object, bytes]]) -> None:
         self.ids = [i for i, _ in items]
         self.sets = [np.frombuffer(s, np.uint64) for _, s in items]
         self.classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
         self.small: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def build(self) -> None:
-        """Per class: for each value the coordinates at which an item has it, as bits; keys (coordinate, value) in order, and their items.
+        """Per class: a filter of the keys (coordinate, value) that items have; these keys in order, and their items.
 
         Small items: whether a shingle's first bits are theirs; their shingles in order, the edges of each one's items, and these items.
         """
@@ -83,11 +93,10 @@ class Index:
         for k, s in enumerate(self.sets):
             if len(s) > SMALLEST:
                 by.setdefault(size_class(len(s)), []).append(k)
-        bit = np.uint64(1) << np.arange(COORDINATES, dtype=np.uint64)
         for u, members in by.items():
             signatures = np.array([windows[scattered(self.sets[k])].min(axis=0) for k in members])
-            mask = np.zeros(1 << BITS, np.uint64)
-            np.bitwise_or.at(mask, signatures, np.broadcast_to(bit, signatures.shape))
+            mask = np.zeros(1 << _FILTER, bool)
+            mask[_spots(signatures)] = True
             keys = ((np.arange(COORDINATES) << BITS) + signatures.astype(np.int64)).ravel()
             order = np.argsort(keys, kind="stable")
             self.classes[u] = mask, keys[order], np.repeat(np.array(members), COORDINATES)[order]
@@ -114,7 +123,10 @@ class Index:
             return np.zeros((0, 2), np.int64)
         found = [self.small_candidates(shingles, first)] if self.small else []
         if self.classes:
-            least = np.minimum.reduceat(circulant(COORDINATES)[scattered(shingles)], starts, axis=0)
+            least = np.empty((len(starts), COORDINATES), np.uint32)
+            for lo in range(0, len(starts), _RUN // SMALLEST):
+                own, end = starts[lo : lo + _RUN // SMALLEST], starts[lo + _RUN // SMALLEST] if lo + _RUN // SMALLEST < len(starts) else len(shingles)
+                least[lo : lo + len(own)] = np.minimum.reduceat(circulant(COORDINATES)[scattered(shingles[own[0] : end])], own - own[0], axis=0)
         for u, (mask, keys, members) in self.classes.items():
             step = u // SMALLEST
             many = np.maximum(-(-parts // step) - (parts > step), np.minimum(parts, 1))
@@ -123,8 +135,7 @@ class Index:
             hi = np.minimum(lo + 2 * step, edge[doc + 1])
             padded = np.concatenate([least, least[-1:]])
             window = np.minimum.reduceat(padded, np.column_stack([lo, hi]).ravel(), axis=0)[::2]
-            bits = mask[window]
-            at, k = np.nonzero((bits >> np.arange(COORDINATES, dtype=np.uint64)) & np.uint64(1))
+            at, k = np.nonzero(mask[_spots(window)])
             key = (k << BITS) + window[at, k].astype(np.int64)
             a, z = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
             item = members[np.repeat(a - (np.cumsum(z - a) - (z - a)), z - a) + np.arange((z - a).sum())]
@@ -158,22 +169,25 @@ def _item_sets(size: int):
             for rows in pieces(batch, "text"):
                 h, first = text_shingles(rows.column(1), size)
                 sets = [distinct(h[lo:hi]) for lo, hi in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["item", "shingles"]).filter(pa.array([len(s) > 0 for s in sets], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["item", "shingles"]).filter(pa.array([len(s) > 0 for s in sets], pa.bool_()))
 
     return run
 
 
 def find_items(docs: DataFrame, items: DataFrame, hits: str = "hits", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100), block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """``docs`` with a column ``hits``: the items held, as (item, common, size), in the order of (item, common)."""
-    if hits in docs.columns:
-        raise ValueError(f"documents have a column {hits} already")
-    own = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).mapInArrow(_item_sets(shingle), "item long, shingles binary")
-    own = materialise(own, "items")
+    kept = [f for f in docs.schema.fields if f.name.lower() != hits.lower() or f.name == text_col]
+    docs = docs.select(*(F.col(f"`{f.name}`") for f in kept))
+    own = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("text"))
+    id_field = T.StructField("item", own.schema["item"].dataType)
+    own = own.mapInArrow(_item_sets(shingle), T.StructType([id_field, T.StructField("shingles", T.BinaryType())]))
+    own = materialise(own.withColumn("row", F.monotonically_increasing_id()), "items")
     total = own.agg(F.coalesce(F.sum(F.length("shingles") / 8), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_shingles))
     at = docs.columns.index(text_col)
-    kind = T.StructType([*docs.schema.fields, T.StructField(hits, T.ArrayType(HIT))])
-    element = pa.list_(pa.struct([("item", pa.int64()), ("common", pa.int64()), ("size", pa.int64())]))
+    hit = T.StructType([id_field, T.StructField("common", T.LongType()), T.StructField("size", T.LongType())])
+    kind = T.StructType([*kept, T.StructField(hits, T.ArrayType(hit))])
+    element = to_arrow_type(T.ArrayType(hit))
 
     def searching(index: Index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,17 +195,17 @@ def find_items(docs: DataFrame, items: DataFrame, hits: str = "hits", text_col:
             for batch in batches:
                 for rows in pieces(batch, text_col):
                     found = index.search(rows.column(at), shingle, threshold)
-                    columns, names = list(rows.columns), rows.schema.names
-                    if hits in names:
+                    columns = list(rows.columns)
+                    if len(columns) > len(kept):
                         found = [a + b for a, b in zip(columns.pop().to_pylist(), found, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(found, element)], [*names[: len(columns)], hits])
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(found, element)], [*rows.schema.names[: len(columns)], hits])
 
         return run
 
     for block in range(blocks):
-        # About ``block_shingles`` shingles at a time: bounded whatever the benchmark's size.
-        part = own.where(F.pmod(F.xxhash64("shingles"), F.lit(blocks)) == block).collect()
-        docs = docs.mapInArrow(searching(Index([(r["item"], bytes(r["shingles"])) for r in part])), kind)
+        # About ``block_shingles`` shingles at a time (items are dealt by their rows' numbers).
+        part = own.where(F.pmod("row", F.lit(blocks)) == block).collect()
+        docs = (materialise(docs, "searched") if block else docs).mapInArrow(searching(Index([(r["item"], bytes(r["shingles"])) for r in part])), kind)
     return docs.withColumn(hits, F.array_sort(hits))
 
 
