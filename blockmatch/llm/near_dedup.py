@@ -16,7 +16,8 @@ From signatures to links:
 3. Connected components of the links found so far.  What may still be missing is
    a link between two nodes of one bucket with different labels, neither of
    which is the smallest.  Buckets of up to ``FEW`` such nodes are compared pair
-   by pair; larger ones are cut into blocks of about ``BLOCK`` nodes, and each
+   by pair; larger ones are cut into blocks of about ``BLOCK`` nodes, fewer where
+   these hold more than ``BLOCK_SHINGLES`` shingles, and each
    pair of blocks is one group: a task counts shared shingles there with an
    inverted list and returns only links, at most one less than it has nodes.
 4. Connected components of all links; their smallest row id.
@@ -55,6 +56,8 @@ ROWS = 4
 BANDS = COORDINATES // ROWS
 FEW = 8
 BLOCK = 512
+#: Shingles in a block, about; a pair of blocks takes some 100 bytes for each while it is compared.
+BLOCK_SHINGLES = 1 << 18
 
 _BAND = np.random.default_rng(SEED + 2).integers(1, 1 << 63, (1, BANDS, ROWS), dtype=np.uint64) * U64(2) + U64(1)
 _BAND_NUMBER = np.arange(1, BANDS + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)
@@ -102,7 +105,7 @@ def _describe(size: int):
                 bands = band_hashes(signatures).astype(np.int64).ravel()
                 offsets = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
                 ids = pa.array([set_id(s) if len(s) else None for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands))], ["id", "n", "set", "bands"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(n), ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands))], ["id", "text_hash", "n", "set", "bands"])
 
     return run
 
@@ -191,13 +194,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``threshold``: least Jaccard similarity of a link, as a fraction of whole numbers.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     id_field = T.StructField("id", docs.schema["id"].dataType)
     long = T.LongType()
-    schema = T.StructType([id_field, T.StructField("n", long), T.StructField("set", T.BinaryType()), T.StructField("bands", T.ArrayType(long))])
+    schema = T.StructType([id_field, T.StructField("text_hash", long), T.StructField("n", long), T.StructField("set", T.BinaryType()), T.StructField("bands", T.ArrayType(long))])
     rows = materialise(docs.mapInArrow(_describe(shingle), schema), "signatures")
-    nodes = rows.where("n > 0").groupBy("set").agg(F.min("id").alias("min_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "set", "min_id", "n", "bands"), "nodes")
+    nodes = rows.where("n > 0").groupBy("set").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "set", F.col("row.id").alias("min_id"), F.col("row.text_hash").alias("min_hash"), "n", "bands"), "nodes")
 
     likely = f"{threshold[1]} * least(n, low_n) >= {threshold[0]} * greatest(n, low_n)"
     in_bands = nodes.select("node", "n", F.explode("bands").alias("band"))
@@ -206,8 +209,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     pairs = members.where(likely).select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     shared = members.select("node").unionByName(members.select(F.col("low").alias("node"))).distinct()
-    wanted = materialise(nodes.select("node", "set", "min_id").join(shared, "node"), "wanted")
-    texts = docs.join(small(wanted, 64), F.col("id").eqNullSafe(F.col("min_id"))).select("text", "node", "set")
+    wanted = materialise(nodes.select("node", "set", "min_id", "min_hash").join(shared, "node"), "wanted")
+    # A node's text is found by id and hash together: an id, or no id, that many rows share costs no more than others.
+    texts = docs.join(small(wanted, 72), F.col("id").eqNullSafe(F.col("min_id")) & (F.col("text_hash") == F.col("min_hash"))).select("text", "node", "set")
     sets = texts.mapInArrow(_sets(shingle), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     sets = materialise(sets, "sets")
 
@@ -216,7 +220,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Cross-label pairs that no bucket's smallest node is part of.
     named = members.select("band", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("many")).where("x <> y").select("band", "many")
+    mixed = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("many"), F.sum("n").alias("held")).where("x <> y").select("band", "many", "held")
     rest = materialise(named.join(mixed, "band"), "mixed-buckets")
     item = F.struct("node", "label", "n")
     few = rest.where(F.col("many") <= FEW).groupBy("band").agg(F.sort_array(F.collect_list(item)).alias("items"))
@@ -225,7 +229,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         f"q -> q.label <> p.label and {threshold[1]} * least(p.n, q.n) >= {threshold[0]} * greatest(p.n, q.n)), q -> struct(p.node as a, q.node as b))))"
     )).alias("pair"))
     few = _verify(few.select("pair.*").distinct(), sets, threshold)
-    many = rest.where(F.col("many") > FEW).withColumn("blocks", F.expr(f"cast((many + {BLOCK - 1}) div {BLOCK} as int)")).withColumn("side", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    blocks = f"cast(greatest((many + {BLOCK - 1}) div {BLOCK}, (held + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES}) as int)"
+    many = rest.where(F.col("many") > FEW).withColumn("blocks", F.expr(blocks)).withColumn("side", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     many = many.join(sets, "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     many = many.select("band", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "node", "label", "side", "shingles")
     many = many.groupBy("band", "p", "q").applyInArrow(_compare_blocks(threshold), "a long, b long")

@@ -109,7 +109,12 @@ def near_rows():
 @pytest.mark.parametrize("n", [4, 5])
 def test_near_dedup(spark, monkeypatch, n):
     monkeypatch.setattr(near, "BLOCK", 16)  # so that the large group is compared in several blocks
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", 1000)
     rows = near_rows()
+    # Many rows without id, many that share an id, and very long texts.
+    rng = random.Random(6)
+    long = words(rng, 60_000, 10**6)
+    rows += [(i, t) for i, t in rows[10:40] for i in (None, 77)] + [(5, " ".join(long)), (None, " ".join(long[:-9])), (6, " ".join(long[30_000:]))]
     out = near.near_dedup(documents(spark, rows), shingle=n).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out), key=str) == sorted(plain_near(rows, n), key=str)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
