@@ -70,11 +70,12 @@ class Encoder:
     letters is pre-tokenised by the file's own pattern and its pre-tokens go to
     the library's BPE model; any other new word goes to the library whole.
     Texts with control separators (U+001C to U+001F), which Python but not the
-    library counts as white space, and all texts under other vocabulary files,
-    are encoded by the library as they are.
+    library counts as white space, texts that may hold a special token's string,
+    and all texts under other vocabulary files, are encoded by the library as
+    they are.
     """
 
-    def __init__(self, path: str, literal_specials: bool = True) -> None:
+    def __init__(self, path: str, literal_specials: bool = False) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -86,8 +87,10 @@ class Encoder:
         parts = json.loads(self.tokenizer.to_str())
         steps = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
         cuts = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
+        added = [] if literal_specials else self.tokenizer.get_added_tokens_decoder().values()
+        self.whole_if = [*"\x1c\x1d\x1e\x1f", *(t.content for t in added)]
         self.by_word = (
-            literal_specials
+            not any(t.normalized for t in added)
             and steps == ["NFC", "Replace", "Lowercase"]
             and parts["normalizer"]["normalizers"][1]["pattern"] == {"Regex": r"\s+"}
             and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
@@ -121,7 +124,7 @@ class Encoder:
         for text in texts:
             if not text:
                 out.append(b"")
-            elif not self.by_word or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            elif not self.by_word or any(c in text for c in self.whole_if):
                 out.append(self._whole(text))
             else:
                 out.append(b"".join(map(self._words.__getitem__, text.split())))
@@ -186,12 +189,12 @@ def _cut(offsets: dict[int, int], total: int, length: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END, literal_specials: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END, literal_specials: bool = False) -> DataFrame:
     """One row for each piece: its document, place there, sequence, place there, and ids (little-endian unsigned 32-bit).
 
     ``tokenizer``: path of a vocabulary file that every executor has.
     ``padded_length``: the sequence's length after padding, ``length`` unless its ids number a power of two.
-    ``literal_specials``: special tokens' strings in a text are ordinary text.
+    ``literal_specials``: special tokens' strings in a text are ordinary text, not the special tokens that the library takes them for.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType

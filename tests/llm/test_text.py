@@ -7,8 +7,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import documents, words
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from blockmatch.llm import pii, quality, queries, toxicity, url_filter
+from blockmatch.llm import decontamination, pii, quality, queries, toxicity, url_filter
 from blockmatch.llm.decontamination import Index, contaminated, find_items
 from blockmatch.llm.packing import Encoder, pack
 from blockmatch.llm.textarrays import text_shingles
@@ -67,6 +69,38 @@ def test_url_filter(spark):
     assert all((model.score(*url_filter.split_url(u)) >= 0.5) == bool(y) for u, y in url_filter.LABELLED)
 
 
+def test_url_scores_equal_plain_ones(spark):
+    """Of the model's weights, for repeated, null, very long and strange URLs."""
+    rng = random.Random(11)
+    urls = [None, "", "no scheme", "http://", "http://a/", "http://A.b.C/x?y", "http://poker24.example/bonus#1", "x://" + "ab." * 50_000 + "com/" + "p" * 100_000]
+    urls += ["http://" + "".join(rng.choice("abc.-/?#é") for _ in range(rng.randrange(30))) for _ in range(200)]
+    model = url_filter.train()
+    out = url_filter.filter_urls(spark.createDataFrame([(k, u) for k, u in enumerate(urls * 2)], "page_id long, url string"), ()).collect()
+    assert len(out) == 2 * len(urls)
+    for r in out:
+        host, path = url_filter.split_url(r["url"])
+        z = model.offset
+        for kind, words in (("h", host.split(".")[:-1] or host.split(".")), ("p", [path])):
+            grams = [f"^{w}$"[i : i + n] for w in words for n in url_filter.SIZES for i in range(len(w) + 3 - n)]
+            z += sum(model.weights[zlib.crc32(f"{kind}{g}".encode()) % url_filter.BUCKETS] for g in grams) / max(len(grams), 1) ** 0.5
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z))) and r["verdict"] == ("block" if r["score"] >= 0.5 else "allow")
+
+
+def test_url_training_is_at_its_optimum():
+    """A regularised logistic loss with sides of equal weight: no weight nor the offset can be moved to lower it by much."""
+    rows = [(url_filter.features(*url_filter.split_url(u)), y) for u, y in url_filter.LABELLED]
+    model = url_filter.train()
+    w = model.weights
+    z = np.array([sum(w[list(side)].sum() / np.sqrt(len(side)) for side in sides if side) for sides, _ in rows]) + model.offset
+    y = np.array([y for _, y in rows])
+    error = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * (1 / (1 + np.exp(-z)) - y)
+    slope = url_filter.L2 * w
+    for (sides, _), e in zip(rows, error, strict=True):
+        for side in sides:
+            np.add.at(slope, side, e / np.sqrt(max(len(side), 1)))
+    assert np.abs(slope).max() < 2e-3 and abs(error.sum()) < 2e-3
+
+
 def labelled(spark, n=400):
     rng = random.Random(2)
     rows, labels = list(EDGE), [(4, 0)]
@@ -89,8 +123,57 @@ def test_toxicity(spark):
     scores = {(r["doc_id"], r["text"]): r["rating"] for r in toxicity.score(docs, model, "rating").collect()}
     assert scores[1, None] == scores[2, ""] == scores[3, " "]
     assert set(toxicity.score(docs, model, "rating").columns) == {*docs.columns, "rating"}
-    with pytest.raises(ValueError):
-        toxicity.score(docs, model, "score")
+    again = toxicity.score(docs, model, "SCORE")
+    assert again.columns == [*(c for c in docs.columns if c != "score"), "SCORE"] and {r["SCORE"] for r in again.collect()} == {r["rating"] for r in toxicity.score(docs, model, "rating").collect()}
+
+
+def plain_buckets(text):
+    out = set()
+    for word in (text or "").lower().split():
+        for n in toxicity.SIZES:
+            for i in range(len(word) + 3 - n):
+                h = (sum((ord(c) + 1) * int(toxicity._COEF[k]) for k, c in enumerate(f" {word} "[i : i + n], 1)) + n) * 0x85EBCA6B % (1 << 32)
+                h = (h ^ (h >> 15)) * 0xC2B2AE35 % (1 << 32)
+                out.add((h ^ (h >> 16)) % toxicity.BUCKETS)
+    return out
+
+
+@pytest.mark.parametrize("step", [1, 7, 1 << 18])
+def test_toxicity_features_equal_plain_ones(monkeypatch, step):
+    """Whatever the step that long texts go through in."""
+    monkeypatch.setattr(toxicity, "_STEP", step)
+    texts = [None, "", " ", "a", "a b", "Hello  world\n ab\u3000ccc\x1cd", "\u65e5\u672c \u00c9\u00fc\u0130x word", "same same SAME", "x" * 50, "tail "]
+    for part in (texts, texts[::-1], []):
+        found = toxicity.features(part)
+        assert [set(x.tolist()) for x in found] == [plain_buckets(t) for t in part]
+        assert all(len(x) == len(set(x.tolist())) for x in found)
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """Hot ids count once, ids labelled both ways not at all, and the bound on features holds; ids may be strings."""
+    docs, labels = labelled(spark, 40)
+    docs = docs.unionByName(docs.where("doc_id = 100").withColumn("text", F.lit("again "))).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    labels = labels.unionByName(labels.where("doc_id = 101").withColumn("toxic", 1 - F.col("toxic"))).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    seen = []
+    fit = toxicity.fit
+    toxicity.fit = lambda texts, marks: seen.append((texts, marks)) or fit(texts, marks, rounds=3)
+    try:
+        toxicity.train(docs, labels)
+        toxicity.train(docs, labels, most_features=1500)
+        toxicity.train(docs, labels, positives=3, negatives=2)
+    finally:
+        toxicity.fit = fit
+    everything, few, three = seen
+    assert len(everything[1]) == 40 and sum(everything[1]) == 10 and min(map(len, everything[0])) < 20
+    assert 0 < sum(map(len, few[0])) <= 1500 and 0 < sum(few[1]) < len(few[1]) and sorted(three[1]) == [0, 0, 1, 1, 1]
+
+
+def test_toxicity_of_a_very_long_text(spark):
+    docs, labels = labelled(spark, 60)
+    model = toxicity.train(docs, labels)
+    text = " ".join(words(random.Random(7), 200_000))
+    out = toxicity.score(documents(spark, [(1, text), (1, text), (2, None)]), model, "rating").collect()
+    assert len({r["rating"] for r in out if r["doc_id"] == 1}) == 1 and out[0]["rating"] == pytest.approx(model.scores([text])[0])
 
 
 def test_toxicity_without_examples(spark):
@@ -118,20 +201,24 @@ def test_votes_abstain_without_words():
 
 
 def test_encoder_equals_the_library():
-    tool = Encoder(queries.tokenizer_path())
+    tool, library = Encoder(queries.tokenizer_path()), Tokenizer.from_file(queries.tokenizer_path())
     rng = random.Random(4)
-    letters = [*"abé\u0301 \x1c\x1f\n\t\u00a0\u3000ß'sΣςİ12!?\ufb01\u200b漢\x85\x0b\x0c", "<|endoftext|>", "'re", "'S"]
+    letters = [*"abé\u0301 \x1c\x1f\n\t\u00a0\u3000ß'sΣςİ12!?\ufb01\u200b漢\x85\x0b\x0c", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "'re", "'S"]
     assert tool.by_word
     for _ in range(5000):
         text = "".join(rng.choice(letters) for _ in range(rng.randrange(14)))
-        assert tool.encode([text])[0] == tool._whole(text), text
+        ids = np.frombuffer(tool.encode([text])[0], tool.dtype).tolist()
+        assert ids == library.encode(text, add_special_tokens=False).ids, text
+    library.encode_special_tokens = True
+    literal, text = Encoder(queries.tokenizer_path(), literal_specials=True), "a <|endoftext|> b"
+    assert np.frombuffer(literal.encode([text])[0], tool.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_packing_keeps_every_id_in_one_piece(spark):
     rng = random.Random(5)
-    rows = EDGE + [(10 + k, " ".join(words(rng, rng.choice([1, 40, 400, 3000])))) for k in range(30)]
+    rows = EDGE + [(10 + k, " ".join(words(rng, rng.choice([1, 40, 400, 3000])))) for k in range(30)] + [(90, "one <|endoftext|> two"), (91, " ".join(words(rng, 150_000)))]
     out = pack(documents(spark, rows).repartition(5), queries.tokenizer_path()).collect()
-    tool = Encoder(queries.tokenizer_path())
+    tool, library = Encoder(queries.tokenizer_path()), Tokenizer.from_file(queries.tokenizer_path())
     sequences, docs = {}, {}
     for r in out:
         assert len(r["ids"]) == 4 * r["length"] > 0
@@ -148,7 +235,7 @@ def test_packing_keeps_every_id_in_one_piece(spark):
         if i is not None and i >= 10:
             ids = np.frombuffer(b"".join(x for _, x in sorted(parts)), "<u4")
             text = next(t for d, t in rows if d == i)
-            assert len(ids) == n and ids.tolist() == [*tool.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+            assert len(ids) == n and ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
     assert [bytes(x) for _, x in docs[1, 1]] == [b"\1\0\0\0"] and len(docs[4, docs_tokens(tool, "one two")]) == 2
     assert pack(documents(spark, []), queries.tokenizer_path()).collect() == []
 
@@ -194,5 +281,19 @@ def test_decontamination(spark):
     assert sum(bool(x) for x in want.values()) >= 12
     assert find_items(documents(spark, rows), bench.limit(0), "found").where(contaminated("found")).count() == 0
     assert find_items(documents(spark, []), bench, "found").collect() == []
-    with pytest.raises(ValueError):
-        find_items(documents(spark, rows), bench)
+    again = find_items(documents(spark, rows), bench.selectExpr("'i' || item_id as item_id", "text"), "Hits")
+    assert again.columns == [*(c for c in again.columns if c.lower() != "hits"), "Hits"]
+    assert {(r["doc_id"], r["text"]): sorted(h["item"] for h in r["Hits"]) for r in again.collect()} == {k: sorted(f"i{n}" for n in v) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("run", [64, 1 << 15])
+def test_items_in_a_very_long_text(monkeypatch, run):
+    """Repeated items too, whatever the number of shingles that are looked at together."""
+    monkeypatch.setattr(decontamination, "_RUN", run)
+    rng = random.Random(8)
+    text = words(rng, 100_000, 10**6)
+    items = [text[k : k + n] for k, n in ((5, 9), (50_000, 40), (99_000, 300), (99_980, 20))] * 2 + [words(rng, 30)]
+    h, first = text_shingles(pa.array([" ".join(x) for x in items]), 5)
+    index = Index([(k, np.unique(h[a:z]).tobytes()) for k, (a, z) in enumerate(zip(first[:-1], first[1:], strict=True))])
+    found = index.search(pa.array([" ".join(text), None]), 5, (80, 100))
+    assert sorted(x["item"] for x in found[0]) == [0, 1, 2, 3, 4, 5, 6, 7] and found[1] == []
