@@ -38,6 +38,8 @@ from blockmatch.llm.textarrays import pieces, raw
 from blockmatch.storage import materialise, small
 
 CHUNK = 4096
+#: Bytes whose chunks are hashed at a time, however long a text is.
+SLICE = 1 << 18
 COMPARE = 1 << 16
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515249, 1566083947)
@@ -78,8 +80,14 @@ def fingerprints(b: np.ndarray, offsets: np.ndarray, base: int, prime: int) -> n
     out = np.zeros(len(lengths), np.uint64)
     if not len(starts):
         return out
-    exponent = np.repeat(ends, ends - starts) - 1 - np.arange(len(b))
-    hashes = np.add.reduceat(b.astype(np.uint64) * power[exponent], starts) % np.uint64(prime)
+    hashes = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):  # chunks lie end to end, so a run of them is one slice of the bytes
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + SLICE, "right")))
+        begin, size = starts[lo], ends[lo:hi] - starts[lo:hi]
+        exponent = np.repeat(ends[lo:hi] - begin, size) - 1 - np.arange(ends[hi - 1] - begin)
+        hashes[lo:hi] = np.add.reduceat(power[exponent] * b[begin : ends[hi - 1]], starts[lo:hi] - begin) % np.uint64(prime)
+        lo = hi
     shift = power[ends - starts]
     for k in range(int(parts.max())):
         at = np.flatnonzero(parts > k)
