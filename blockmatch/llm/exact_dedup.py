@@ -5,9 +5,10 @@ A text's bytes are cut into chunks; each chunk gets the polynomial hash
 at once.  Hashes of neighbours combine without the bytes,
 ``H(a + b) = H(a) * B ** len(b) + H(b)``, so chunks of one huge text can be
 hashed in any order and in parallel.  Texts with equal length and fingerprint
-are only suspected equal: each is then compared with its group's representative,
-chunk by chunk, in a join on (fingerprint, chunk number) that holds one pair of
-chunks at a time and that Spark may split for groups of any size.
+are only suspected equal: their bytes are then compared chunk by chunk, by the
+least and the greatest chunk of each (fingerprint, chunk number).  Every task
+combines what it has before anything is shuffled, so a group that holds a third
+of all rows sends one pair of chunks a task and place, not its rows.
 
 Defined results:
 
@@ -127,23 +128,21 @@ def _schema(id_type: T.DataType, *more: T.StructField) -> T.StructType:
 
 
 def _unequal(docs: DataFrame, rows: DataFrame, groups: DataFrame, key: list[str], describe, schema: T.StructType) -> DataFrame:
-    """(fingerprint, sha) of the rows that differ from their group's representative, after comparing all their chunks."""
-    suspects = groups.where("n > 1").select(*key, "top")
-    ids = materialise(rows.join(suspects, key).select("id").distinct(), "suspect-ids")
+    """(fingerprint, sha) of all rows whose group holds unequal texts, found by comparing all chunks.
+
+    Chunks of one group and place are all equal if the least is the greatest: an aggregation that combines before it shuffles.
+    """
+    ids = materialise(rows.join(groups.where("n > 1").select(*key), key, "left_semi").select("id").distinct(), "suspect-ids")
     texts = docs.join(small(ids.withColumnRenamed("id", "_id"), 24), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
     chunks = (
         texts.mapInArrow(describe, schema)
-        .select("id", *_FP, "sha", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("bytes"))
+        .select(*key, F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("bytes"))
         .withColumn("k", F.explode(F.expr(f"sequence(0, cast(greatest(length(bytes) - 1, 0) div {COMPARE} as int))")))
-        .withColumn("chunk", F.expr(f"substring(bytes, k * {COMPARE} + 1, {COMPARE})"))
-        .drop("bytes")
+        .select(*key, "k", F.expr(f"substring(bytes, k * {COMPARE} + 1, {COMPARE})").alias("chunk"))
     )
-    named = suspects.select(*(F.col(c).alias(f"s_{c}") for c in key), "top")
-    held = chunks.join(small(named, 64), [F.col(c) == F.col(f"s_{c}") for c in key])
-    held = held.select("id", *_FP, "sha", "top", "k", "chunk")
-    model = held.where(F.col("id").eqNullSafe(F.col("top"))).dropDuplicates([*key, "k"]).select(*(F.col(c).alias(f"m_{c}") for c in key), F.col("k").alias("m_k"), F.col("chunk").alias("m_chunk"))
-    both = held.join(model, [*(F.col(c) == F.col(f"m_{c}") for c in key), F.col("k") == F.col("m_k")])
-    return materialise(both.where("chunk <> m_chunk").select(*_FP, "sha").distinct(), "unequal")
+    ends = chunks.groupBy(*key, "k").agg(F.min("chunk").alias("least"), F.max("chunk").alias("greatest"))
+    split = materialise(ends.where("least <> greatest").select(*key).distinct(), "unequal")
+    return rows.join(split, key, "left_semi").select(*_FP, "sha").distinct()
 
 
 def _groups(rows: DataFrame, key: list[str]) -> DataFrame:
