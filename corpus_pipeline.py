@@ -34,7 +34,7 @@ from blockmatch.llm.exact_dedup import exact_dedup
 from blockmatch.llm.near_dedup import near_dedup
 from blockmatch.llm.packing import pack
 from blockmatch.llm.queries import held_out, tokenizer_path
-from blockmatch.storage import ARROW_ROWS, materialise, small
+from blockmatch.storage import go_lean, materialise, small
 
 
 def _unused(docs: DataFrame, name: str) -> str:
@@ -58,13 +58,8 @@ def _only_kept(docs: DataFrame, key: str, verdicts: DataFrame, wanted: list[str]
     return docs.join(small(dropped, 16), F.col(key) == F.col("dropped_key"), "left_anti").select(*(f"`{c}`" for c in wanted))
 
 
-def _tuned(spark: SparkSession) -> None:
-    """The pipeline's session takes small Arrow batches: its results are written by whoever called it, and whole texts pass through Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _tuned(spark)
+    go_lean(spark)  # for the whole session: the results are written by whoever called, and whole texts pass through Python
     model = toxic.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), may_learn=~held_out())
     score = _unused(docs, "score")
     return toxic.score(docs, model, score).where(F.col(score) < toxic.THRESHOLD).drop(score)
