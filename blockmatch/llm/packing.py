@@ -34,8 +34,8 @@ from blockmatch.storage import materialise
 
 LENGTH = 2048
 END = 1
-#: Words, and as many pre-tokens, whose ids one worker remembers at most; beyond it, the memory starts anew.
-REMEMBERED = 600_000
+#: Words, and as many pre-tokens, whose ids one worker remembers at most (some 110 MB together); beyond it, the memory starts anew.
+REMEMBERED = 400_000
 
 _encoders: dict[str, Encoder] = {}
 caches.register("packing", _encoders.clear)
@@ -103,6 +103,8 @@ class Encoder:
         if self.by_word:
             self._pattern = regex.compile(cuts[0]["pattern"]["Regex"])
             self._letters = _byte_letters()
+            self._bpe = self.tokenizer.model
+            self._letters_alone = "|[\\p{L}]+|" in self._pattern.pattern
             self._pretokens = _Remembered(self._pretoken)
             self._words = _Remembered(self._word)
 
@@ -110,13 +112,16 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _pretoken(self, text: str) -> bytes:
-        tokens = self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self._letters))
+        tokens = self._bpe.tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(self._letters))
         return array("I" if self.dtype is np.uint32 else "H", [x.id for x in tokens]).tobytes()
 
     def _word(self, word: str) -> bytes:
         if not word.isascii() and max(word) >= "\u0300":
             return self._whole(word)
-        return b"".join(map(self._pretokens.__getitem__, self._pattern.findall(word.lower())))
+        low = word.lower()
+        if self._letters_alone and low.isalpha():  # one pre-token
+            return self._pretokens[low]
+        return b"".join(map(self._pretokens.__getitem__, self._pattern.findall(low)))
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Little-endian ids of each text."""
