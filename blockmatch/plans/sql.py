@@ -6,12 +6,15 @@ which names them by their hashes.
 
 from __future__ import annotations
 
-from blockmatch.plans.queries import RANGE, REPOSITORY, whole
-from blockmatch.plans.tables import IN_A, IN_B
+from blockmatch.plans.queries import COUNT, COUNTS, RANGE, REPOSITORY
+from blockmatch.plans.tables import ALL, IN_A, IN_B
 
-_SETS = f"""
-    a AS (SELECT l_partkey AS p, l_orderkey AS o, least(count(*), 65535) AS n FROM lineitem WHERE {IN_A} GROUP BY ALL),
-    b AS (SELECT l_partkey AS p, l_orderkey AS o, least(count(*), 65535) AS n FROM lineitem WHERE {IN_B} GROUP BY ALL),
+
+
+def _sets(in_a: str, in_b: str) -> str:
+    return f"""
+    a AS (SELECT l_partkey AS p, l_orderkey AS o, least(count(*), 65535) AS n FROM lineitem WHERE {in_a} GROUP BY ALL),
+    b AS (SELECT l_partkey AS p, l_orderkey AS o, least(count(*), 65535) AS n FROM lineitem WHERE {in_b} GROUP BY ALL),
     ha AS (SELECT DISTINCT p, (p * 37) % 8001 AS k_entropy, CASE WHEN p % 10 = 0 THEN 'W' ELSE '' END AS block_label FROM a),
     hb AS (SELECT DISTINCT p, (p * 37) % 8001 + 10000 AS k_entropy, CASE WHEN p % 10 = 0 THEN 'H' ELSE '' END AS block_label FROM b),
     od AS (SELECT o_orderkey AS o, CAST(floor(o_totalprice) AS BIGINT) AS filesize, o_orderstatus AS file_type, o_custkey % 5 AS zero_count, o_orderkey % 7 AS nonprobative_count FROM orders),
@@ -22,6 +25,9 @@ _SETS = f"""
     nb AS (SELECT o, repo, 'b_order_' || o AS f FROM rp SEMI JOIN b USING (o)),
     ca AS (SELECT p, CAST(least(sum(n), 4294967295) AS BIGINT) AS c FROM a GROUP BY p)
 """
+
+
+_SETS, _ONE = _sets(IN_A, IN_B), _sets(ALL, ALL)
 _A_ELSE_B = "SELECT * FROM sa UNION ALL SELECT * FROM sb ANTI JOIN sa USING (o)"
 _B_ELSE_A = "SELECT * FROM sb UNION ALL SELECT * FROM sa ANTI JOIN sb USING (o)"
 _H_A_ELSE_B = "SELECT * FROM ha UNION ALL SELECT * FROM hb ANTI JOIN ha USING (p)"
@@ -62,47 +68,47 @@ _APPROX = "CASE " + " ".join(f"WHEN {{c}} + 5 < {20 * 5**e} THEN (({{c}} + 5) //
 _CODE = "CASE " + " ".join(f"WHEN {{c}} + 5 < {20 * 5**e} THEN {16 * e} + greatest(({{c}} + 5) // {5**e} - 4, 0)" for e in range(12)) + " END"
 
 SQL = {
-    "q_scan_list_expanded": f"""WITH {_SETS}, sj AS {_SOURCE_JSON}, e AS {_expanded("true")}
+    "q_scan_list_expanded": f"""WITH {_ONE}, sj AS {_SOURCE_JSON}, e AS {_expanded("true")}
         SELECT p_partkey AS line, p_brand AS label, md5(CAST(p_partkey AS VARCHAR)) AS block_hash, js AS json FROM part JOIN e ON p = p_partkey""",
-    "q_scan_optimized": f"""WITH {_SETS}, sj AS {_SOURCE_JSON},
+    "q_scan_optimized": f"""WITH {_ONE}, sj AS {_SOURCE_JSON},
         l AS (SELECT l_orderkey * 8 + l_linenumber AS line, l_returnflag AS label, l_partkey AS p FROM lineitem),
         f AS (SELECT p, min(line) AS first FROM l SEMI JOIN ha USING (p) GROUP BY p),
         w AS (SELECT DISTINCT ON (o) o, p AS shown FROM a JOIN f USING (p) ORDER BY o, first, md5(CAST(p AS VARCHAR))),
         e AS {_expanded("p = shown", "JOIN w USING (o)")}
         SELECT line, label, md5(CAST(p AS VARCHAR)) AS block_hash, CASE WHEN line = first THEN js ELSE {_HEAD} || '}}' END AS json
         FROM l JOIN f USING (p) JOIN e USING (p)""",
-    "q_scan_count": f"""WITH {_SETS} SELECT l_orderkey * 8 + l_linenumber AS line, l_returnflag AS label, md5(CAST(p AS VARCHAR)) AS block_hash,
+    "q_scan_count": f"""WITH {_ONE} SELECT l_orderkey * 8 + l_linenumber AS line, l_returnflag AS label, md5(CAST(p AS VARCHAR)) AS block_hash,
         {_HEAD} || ',"count":' || c || '}}' AS json FROM lineitem JOIN ca ON p = l_partkey""",
-    "q_scan_approx_count": f"""WITH {_SETS}, t AS (SELECT substr(md5(CAST(p AS VARCHAR)), 1, 14) AS x, max(c) AS c FROM ca GROUP BY ALL)
+    "q_scan_approx_count": f"""WITH {_ONE}, t AS (SELECT substr(md5(CAST(p AS VARCHAR)), 1, 14) AS x, max(c) AS c FROM ca GROUP BY ALL)
         SELECT l_orderkey * 8 + l_linenumber AS line, l_returnflag AS label, md5(CAST(l_partkey AS VARCHAR)) AS block_hash,
         '{{"block_hash":"' || md5(CAST(l_partkey AS VARCHAR)) || '","approximate_count":' || {_APPROX.format(c="c")} || '}}' AS json
         FROM lineitem JOIN t ON x = substr(md5(CAST(l_partkey AS VARCHAR)), 1, 14)""",
-    "q_find_hash": f"""WITH {_SETS} SELECT md5(CAST(p AS VARCHAR)) AS block_hash, k_entropy, block_label, c AS count, n_sources, '[' || x || ']' AS source_sub_counts
+    "q_find_hash": f"""WITH {_ONE} SELECT md5(CAST(p AS VARCHAR)) AS block_hash, k_entropy, block_label, c AS count, n_sources, '[' || x || ']' AS source_sub_counts
         FROM ha JOIN ca USING (p) JOIN (SELECT p, count(*) AS n_sources, {_PAIRS_JSON} AS x FROM a GROUP BY p) USING (p) SEMI JOIN part ON p_partkey = p""",
-    "q_find_source": f"WITH {_SETS} SELECT md5(CAST(o AS VARCHAR)) AS file_hash, filesize, file_type, zero_count, nonprobative_count FROM sa",
-    "q_find_names": f"WITH {_SETS} SELECT md5(CAST(o AS VARCHAR)) AS file_hash, repo AS repository_name, f AS filename FROM na",
-    "q_hash_table": f"WITH {_SETS} SELECT md5(CAST(p AS VARCHAR)) AS block_hash, k_entropy, block_label, c AS count, n AS sub_count FROM a JOIN ha USING (p) JOIN ca USING (p) WHERE o = 1",
-    "q_duplicates": f"WITH {_SETS} SELECT md5(CAST(p AS VARCHAR)) AS block_hash, k_entropy, block_label, c AS count FROM ha JOIN ca USING (p) WHERE c = 11",
-    "q_histogram": f"WITH {_SETS} SELECT c AS duplicates, count(*) AS distinct_hashes, c * count(*) AS total FROM ca GROUP BY c",
-    "q_totals": f"WITH {_SETS} SELECT CAST(sum(c) AS BIGINT) AS total_hashes, count(*) FILTER (WHERE c = 1) AS total_distinct_hashes, count(*) AS n_distinct FROM ca",
-    "q_size": f"""WITH {_SETS} SELECT (SELECT CAST(sum(CASE WHEN k = 1 THEN 1 ELSE k + 1 END) AS BIGINT) FROM (SELECT count(*) AS k FROM a GROUP BY p)) AS hash_data_store,
+    "q_find_source": f"WITH {_ONE} SELECT md5(CAST(o AS VARCHAR)) AS file_hash, filesize, file_type, zero_count, nonprobative_count FROM sa",
+    "q_find_names": f"WITH {_ONE} SELECT md5(CAST(o AS VARCHAR)) AS file_hash, repo AS repository_name, f AS filename FROM na",
+    "q_hash_table": f"WITH {_ONE} SELECT md5(CAST(p AS VARCHAR)) AS block_hash, k_entropy, block_label, c AS count, n AS sub_count FROM a JOIN ha USING (p) JOIN ca USING (p) WHERE o = 1",
+    "q_duplicates": f"WITH {_ONE} SELECT md5(CAST(p AS VARCHAR)) AS block_hash, k_entropy, block_label, c AS count FROM ha JOIN ca USING (p) WHERE c = {COUNT}",
+    "q_histogram": f"WITH {_ONE} SELECT c AS duplicates, count(*) AS distinct_hashes, c * count(*) AS total FROM ca GROUP BY c",
+    "q_totals": f"WITH {_ONE} SELECT CAST(sum(c) AS BIGINT) AS total_hashes, count(*) FILTER (WHERE c = 1) AS total_distinct_hashes, count(*) AS n_distinct FROM ca",
+    "q_size": f"""WITH {_ONE} SELECT (SELECT CAST(sum(CASE WHEN k = 1 THEN 1 ELSE k + 1 END) AS BIGINT) FROM (SELECT count(*) AS k FROM a GROUP BY p)) AS hash_data_store,
         (SELECT count(DISTINCT substr(md5(CAST(p AS VARCHAR)), 1, 14)) FROM a) AS hash_store, (SELECT count(*) FROM sa) AS source_data_store,
         (SELECT count(*) FROM sa) AS source_id_store, (SELECT count(*) FROM na) AS source_name_store""",
-    "q_sources": f"WITH {_SETS} SELECT fh AS file_hash, js AS json FROM {_SOURCE_JSON}",
+    "q_sources": f"WITH {_ONE} SELECT fh AS file_hash, js AS json FROM {_SOURCE_JSON}",
     "q_add": _flat("SELECT * FROM b UNION ALL SELECT * FROM a ANTI JOIN sb USING (o)", _H_B_ELSE_A, _B_ELSE_A, "SELECT * FROM nb UNION SELECT * FROM na ANTI JOIN sb USING (o)"),
     "q_add_multiple": _flat("SELECT * FROM a UNION ALL SELECT * FROM b ANTI JOIN a USING (p, o)", _H_A_ELSE_B, _B_ELSE_A, _ALL_NAMES),
-    "q_add_repository": _flat(f"SELECT * FROM a SEMI JOIN (SELECT o FROM na WHERE repo = '{REPOSITORY}') USING (o)", "SELECT * FROM ha", "SELECT * FROM sa", f"SELECT * FROM na WHERE repo = '{REPOSITORY}'"),
-    "q_subtract_repository": _flat(f"SELECT * FROM a SEMI JOIN (SELECT o FROM na WHERE repo <> '{REPOSITORY}') USING (o)", "SELECT * FROM ha", "SELECT * FROM sa", f"SELECT * FROM na WHERE repo <> '{REPOSITORY}'"),
-    "q_add_range": _flat("SELECT * FROM a SEMI JOIN (SELECT p FROM ca WHERE c BETWEEN 5 AND 11) USING (p)", "SELECT * FROM ha", "SELECT * FROM sa", "SELECT * FROM na"),
+    "q_add_repository": _flat(f"SELECT * FROM a SEMI JOIN (SELECT o FROM na WHERE repo = '{REPOSITORY}') USING (o)", "SELECT * FROM ha", "SELECT * FROM sa", f"SELECT * FROM na WHERE repo = '{REPOSITORY}'", sets=_ONE),
+    "q_subtract_repository": _flat(f"SELECT * FROM a SEMI JOIN (SELECT o FROM na WHERE repo <> '{REPOSITORY}') USING (o)", "SELECT * FROM ha", "SELECT * FROM sa", f"SELECT * FROM na WHERE repo <> '{REPOSITORY}'", sets=_ONE),
+    "q_add_range": _flat(f"SELECT * FROM a SEMI JOIN (SELECT p FROM ca WHERE c BETWEEN {COUNTS[0]} AND {COUNTS[1]}) USING (p)", "SELECT * FROM ha", "SELECT * FROM sa", "SELECT * FROM na", sets=_ONE),
     "q_intersect": _flat("SELECT * FROM a SEMI JOIN b USING (p, o)", "SELECT * FROM ha", _A_ELSE_B, _ALL_NAMES),
     "q_intersect_hash": _flat("SELECT * FROM a SEMI JOIN b USING (p) UNION ALL SELECT * FROM (SELECT * FROM b ANTI JOIN a USING (p, o)) SEMI JOIN a USING (p)", "SELECT * FROM ha", _A_ELSE_B, _ALL_NAMES),
     "q_subtract": _flat("SELECT * FROM a ANTI JOIN b USING (p, o)", "SELECT * FROM ha", _A_ELSE_B, _ALL_NAMES),
     "q_subtract_hash": _flat("SELECT * FROM a ANTI JOIN b USING (p)", "SELECT * FROM ha", _A_ELSE_B, _ALL_NAMES),
-    "q_repository_kinds": f"WITH {_SETS} SELECT md5(CAST(o AS VARCHAR)) AS file_hash, bool_or(repo = '{REPOSITORY}') AS in_repository, bool_or(repo <> '{REPOSITORY}') AS in_other FROM na GROUP BY o",
-    "q_export_hashes": f"WITH {_SETS} SELECT bh AS block_hash, js AS json FROM {_HASH_JSON}",
-    "q_export_range": f"""WITH {_SETS}, hj AS {_HASH_JSON}, sj AS {_SOURCE_JSON}, i AS (SELECT * FROM hj WHERE bh >= '{RANGE[0]}' AND bh <= '{RANGE[1]}')
+    "q_repository_kinds": f"WITH {_ONE} SELECT md5(CAST(o AS VARCHAR)) AS file_hash, bool_or(repo = '{REPOSITORY}') AS in_repository, bool_or(repo <> '{REPOSITORY}') AS in_other FROM na GROUP BY o",
+    "q_export_hashes": f"WITH {_ONE} SELECT bh AS block_hash, js AS json FROM {_HASH_JSON}",
+    "q_export_range": f"""WITH {_ONE}, hj AS {_HASH_JSON}, sj AS {_SOURCE_JSON}, i AS (SELECT * FROM hj WHERE bh >= '{RANGE[0]}' AND bh <= '{RANGE[1]}')
         SELECT 0 AS kind, bh AS key, js AS value FROM i UNION ALL SELECT 1, fh, js FROM sj WHERE o IN (SELECT o FROM a SEMI JOIN i USING (p))""",
-    "q_import_json": _flat("SELECT * FROM a", "SELECT * FROM ha", "SELECT * FROM sa", "SELECT * FROM na"),
+    "q_import_json": _flat("SELECT * FROM a", "SELECT * FROM ha", "SELECT * FROM sa", "SELECT * FROM na", sets=_ONE),
     "q_merge": _flat("SELECT * FROM a UNION ALL SELECT * FROM b ANTI JOIN a USING (p, o)", _H_A_ELSE_B, _B_ELSE_A, _ALL_NAMES),
     "q_insert": _flat("SELECT p, o, CAST(least(sum(n), 65535) AS BIGINT) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY p, o", _H_A_ELSE_B, _B_ELSE_A, _ALL_NAMES),
     "q_import_tab": _flat(
@@ -145,4 +151,4 @@ SQL = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | {k: SQL[name].replace(f"WHERE {IN_A} ", f"WHERE {a} ").replace(f"WHERE {IN_B} ", f"WHERE {b} ") for k, (name, (a, b)) in whole().items() if name in SQL}
+    return SQL

@@ -1,42 +1,26 @@
 """Block sets over the driver's tables.
 
 Blocks are parts and sources are orders: a line item is one occurrence of its
-part's hash in its order.  Sets A and B overlap, and differ in attributes,
-source data and file names, so that it shows whose value a command keeps.  Cut
-as ``IN_A`` and ``IN_B`` they leave line items out; ``WHOLE`` is one set of all
-line items, and the sets of ``PAIR`` hold them all together.
+part's hash in its order.  Queries over one set have all line items.  Sets A and
+B hold them all together: they share the middle line numbers, and one in sixteen
+blocks, by its hash, is whole in one of them and absent from the other.  They
+differ in attributes, source data and file names, so that it shows whose value a
+command keeps.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from contextvars import ContextVar
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockmatch.functions import codec
 from blockmatch.operators.blockset import BlockSet, of_pairs
 
-IN_A = "l_linenumber <= 4 AND l_orderkey % 3 <> 0 AND l_partkey % 5 <> 0"
-IN_B = "l_linenumber >= 3 AND l_orderkey % 3 <> 1 AND l_partkey % 5 <> 1"
-WHOLE = ("true", "true")
-PAIR = ("l_linenumber <= 4", "l_linenumber >= 3")
-
-_cut = ContextVar("cut", default=(IN_A, IN_B))
-
-
-def within(cut: tuple[str, str], query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The same query over sets cut by other conditions."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        token = _cut.set(cut)
-        try:
-            return query(spark, sf_dir)
-        finally:
-            _cut.reset(token)
-
-    return run
+_FIRST = "substr(md5(CAST(l_partkey AS VARCHAR(20))), 1, 1)"
+#: Conditions on line items, in words that Spark and DuckDB share.
+ALL = "true"
+IN_A = f"(l_linenumber <= 4 OR {_FIRST} = '0') AND {_FIRST} <> 'f'"
+IN_B = f"(l_linenumber >= 3 OR {_FIRST} = 'f') AND {_FIRST} <> '0'"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,9 +31,9 @@ def key(column: str) -> Column:
     return F.unhex(F.md5(F.col(column).cast("string")))
 
 
-def block_set(spark: SparkSession, sf_dir: str, second: bool = False, which: str | None = None) -> BlockSet:
-    """A, or B if ``second``; ``which``: another condition on line items."""
-    items = table(spark, sf_dir, "lineitem").where(which or _cut.get()[second])
+def block_set(spark: SparkSession, sf_dir: str, which: str = ALL) -> BlockSet:
+    """The set of the line items that ``which`` names."""
+    items, second = table(spark, sf_dir, "lineitem").where(which), which == IN_B
     counted = items.groupBy("l_partkey", "l_orderkey").agg(F.count("*").alias("n"))
     pairs = counted.select(key("l_partkey").alias("block_hash"), key("l_orderkey").alias("file_hash"), codec.sub_count("n").alias("sub_count"))
     parts = items.select("l_partkey").distinct()
