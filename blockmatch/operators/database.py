@@ -1,8 +1,9 @@
 """Block sets on disk: settings, snapshots and a log in one folder of any Spark file system.
 
-A change writes a whole new snapshot and then moves the pointer to it; a
-snapshot is never read and overwritten at once, and a failed change leaves the
-old one in force.  Hashes are range-partitioned and sorted, so exports and
+A change writes a whole new snapshot and then a pointer of its number; the
+highest pointer counts.  A snapshot is never read and overwritten at once, a
+failed change leaves the old one in force, and no pointer is taken away before
+the next is there.  The last two snapshots are kept, for readers of the older.  Hashes are range-partitioned and sorted, so exports and
 ranges read only the files they need.
 """
 
@@ -22,6 +23,7 @@ from blockmatch.operators import merge as merging
 from blockmatch.operators.blockset import BlockSet
 from blockmatch.operators.scan import next_key
 
+_POINTER = "CURRENT."
 _SORTED = {"hash": "block_hash", "hash_source": "block_hash", "source": "file_hash", "source_name": "file_hash"}
 _SCHEMAS = {"hash": schema.HASH, "hash_source": schema.HASH_SOURCE, "source": schema.SOURCE, "source_name": schema.SOURCE_NAME}
 
@@ -127,7 +129,12 @@ class BlockDB:
 
     @property
     def snapshot(self) -> int:
-        return int(self._read("CURRENT"))
+        return max(self._pointers())
+
+    def _pointers(self) -> list[int]:
+        fs, at = self._fs(self.spark, self.path)
+        names = [f.getPath().getName() for f in fs.listStatus(at)]
+        return sorted(int(n[len(_POINTER) :]) for n in names if n.startswith(_POINTER) and n[len(_POINTER) :].isdigit())
 
     def blocks(self) -> BlockSet:
         at = f"{self.path}/{self.snapshot:08d}"
@@ -139,7 +146,11 @@ class BlockDB:
             rows = getattr(held, f.name).select(_SCHEMAS[f.name].fieldNames())
             rows = rows.repartitionByRange(key).sortWithinPartitions(key) if number else rows
             rows.write.mode("overwrite").parquet(f"{self.path}/{number:08d}/{f.name}")
-        self._write("CURRENT", str(number))
+        self._write(f"{_POINTER}{number:08d}", "")
+        for old in self._pointers()[:-2]:
+            for name in (f"{_POINTER}{old:08d}", f"{old:08d}"):
+                fs, at = self._fs(self.spark, f"{self.path}/{name}")
+                fs.delete(at, True)
 
     def save(self, held: BlockSet, command: str = "", counters: dict[str, int] | None = None) -> None:
         """A new snapshot, and what changed to the log."""

@@ -52,7 +52,10 @@ def file_rows(files: DataFrame, options: Options, held: BlockSet | None = None,
     sized = new.select("file_hash", F.length("content").cast("long").alias("filesize"), "content")
     cut = blocks.cut(sized, "content", options.block_size, options.step)
     cut = cut.withColumn("zero", blocks.is_zero("block", options.strict_compat))
-    features = block_features("block", options.block_size, options.with_entropy, options.with_labels)
+    if options.with_entropy or options.with_labels:
+        features = block_features("block", options.block_size, options.with_entropy, options.with_labels)
+    else:
+        features = F.struct(F.lit(0).cast("long").alias("k_entropy"), F.lit("").alias("block_label"))
     full = cut.where(~F.col("zero")).withColumn("f", features).withColumn("block_hash", blocks.digest("block", options.block_size))
     full = full.select("file_hash", "block_hash", F.col("f.k_entropy").alias("k_entropy"), F.col("f.block_label").alias("block_label"), "offset")
     if whitelist is not None:

@@ -138,9 +138,27 @@ def ranges(spark: SparkSession, path: str, window: int = WINDOW, overlap: int =
 
 
 def contents(spark: SparkSession, path: str) -> DataFrame:
-    """(filename, content) of all files below a path of any Spark file system, each up to 2 GB."""
+    """(filename, content) of all files below a path of any Spark file system, each up to 2 GB.
+
+    ``.E01`` images are read through their format, by executors that can open their path; their later segments are no files.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return rows.select(F.regexp_replace("path", "^file:/*/", "/").alias("filename"), "content")
+    rows = rows.select(F.regexp_replace("path", "^file:/*/", "/").alias("filename"), "content")
+    low, stem = F.lower("filename"), F.expr("lower(substring(filename, 1, length(filename) - 4))")
+    first, later = low.endswith(".e01"), low.rlike(r"\.[e-z][0-9a-z]{2}$")
+    images = rows.where(first).select("filename", stem.alias("stem"))
+    plain = rows.withColumn("stem", F.when(later, stem)).where(~first).join(images.select("stem").distinct(), "stem", "left_anti").select("filename", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                media = Media(name)
+                if media.size >= 1 << 31:
+                    raise ValueError(f"{name}: images of 2 GB and more are read by ranges")
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([media.read(0, media.size)], pa.binary())], ["filename", "content"])
+                media.close()
+
+    return plain.unionByName(images.select("filename").mapInArrow(run, "filename string, content binary"))
 
 
 def expanded(rows: DataFrame, depth: int = embedded.DEPTH) -> DataFrame:

@@ -98,16 +98,26 @@ class ScanSession:
         self.waiting: deque[bytes] = deque()
         self.shown_blocks, self.shown_files = (new_path(self.spark, n) for n in ("shown-blocks", "shown-files"))
         self.warnings: list[str] = []
-        none = self.held.hash.limit(0)
-        none.select("block_hash").write.parquet(self.shown_blocks)
-        self.held.source.limit(0).select("file_hash").write.parquet(self.shown_files)
+        self.epoch = 0
+        # What each batch was the first to show, by its number.
+        for path, rows in ((self.shown_blocks, held.hash.select("block_hash")), (self.shown_files, held.source.select("file_hash"))):
+            rows.limit(0).write.parquet(f"{path}/epoch=-1")
 
-    def look_up(self, probes: DataFrame) -> DataFrame:
-        """(line, label, block_hash, json) of probes (line, label, block_hash)."""
+    def _shown(self, path: str, key: str, epoch: int) -> DataFrame:
+        rows = self.spark.read.schema(f"{key} binary, epoch int").option("basePath", path).parquet(path)
+        return rows.where(F.col("epoch") < epoch).select(key)
+
+    def look_up(self, probes: DataFrame, epoch: int | None = None) -> DataFrame:
+        """(line, label, block_hash, json) of probes (line, label, block_hash).
+
+        ``epoch``: the batch's number, where it may come again: what it showed before doesn't count then.
+        """
         if self.mode is not ScanMode.EXPANDED_OPTIMIZED:
             return scan.scan(self.held, probes, self.mode)
         blocks, files = scan.first_shown(self.held, probes)
-        old_blocks, old_files = self.spark.read.parquet(self.shown_blocks), self.spark.read.parquet(self.shown_files)
+        epoch = self.epoch if epoch is None else epoch
+        self.epoch = max(self.epoch, epoch + 1)
+        old_blocks, old_files = self._shown(self.shown_blocks, "block_hash", epoch), self._shown(self.shown_files, "file_hash", epoch)
         new_blocks = blocks.join(old_blocks, "block_hash", "left_anti")
         # A source is shown by the first new hash that has it.
         pairs = self.held.hash_source.join(new_blocks, "block_hash").groupBy("file_hash").agg(F.min(F.struct("line", "block_hash")).alias("first")).select("file_hash", "first.block_hash")
@@ -121,13 +131,13 @@ class ScanSession:
         out = materialise(out, "looked-up")
         full = materialise(new_blocks.select("block_hash"), "new-blocks")
         shown = materialise(new_files.select("file_hash"), "new-files")
-        full.write.mode("append").parquet(self.shown_blocks)
-        shown.write.mode("append").parquet(self.shown_files)
+        full.write.mode("overwrite").parquet(f"{self.shown_blocks}/epoch={epoch}")
+        shown.write.mode("overwrite").parquet(f"{self.shown_files}/epoch={epoch}")
         return out
 
     def sink(self, write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
         """For ``writeStream.foreachBatch``: looks up each micro-batch of (line, label, block_hash)."""
-        return lambda probes, epoch: write(self.look_up(probes), epoch)
+        return lambda probes, epoch: write(self.look_up(probes, epoch), epoch)
 
     def put(self, data: bytes) -> None:
         if data:
