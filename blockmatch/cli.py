@@ -197,8 +197,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     elif a.command in ("duplicates", "hash_table"):
         held = opened(a.db).blocks()
         hashes = stats.duplicates(held, int(a.count)) if a.command == "duplicates" else scan.hash_table(held, _binary(a.file_hash))
-        ranked = hashes.select("block_hash").orderBy("block_hash").toLocalIterator()
-        probes = spark.createDataFrame([(k, "", r["block_hash"]) for k, r in enumerate(ranked)], "line long, label string, block_hash binary")
+        probes = hashes.select(F.col("block_hash").alias("line"), F.lit("").alias("label"), "block_hash")
         found = scan.scan(held, probes, mode).orderBy("line")
         _show(found.select(F.concat_ws("\t", codec.bin_to_hex("block_hash"), "json").alias("value")))
     elif a.command == "read_media":
