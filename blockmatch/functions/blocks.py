@@ -32,4 +32,4 @@ def is_zero(block: Column | str, skip_first: bool = False) -> Column:
     """Whether all bytes are zero; ``skip_first`` doesn't look at the first."""
     c = F.col(block) if isinstance(block, str) else block
     seen = F.substring(c, F.lit(2), F.length(c)) if skip_first else c
-    return F.length(F.regexp_replace(F.hex(seen), "^(00)+$", "")) == 0
+    return seen == F.rpad(F.unhex(F.lit("")), F.length(seen), F.unhex(F.lit("00")))

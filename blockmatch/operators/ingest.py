@@ -13,6 +13,7 @@ from blockmatch.operators import scan
 from blockmatch.operators.blockset import BlockSet
 from blockmatch.operators.merge import insert
 from blockmatch.sources.media import expanded
+from blockmatch.storage import materialise, small
 
 
 @dataclass(frozen=True)
@@ -36,36 +37,42 @@ class Rows:
     names: DataFrame
 
 
+def _opened(files: DataFrame, options: Options) -> DataFrame:
+    """(filename, path, content) of files and, with recursion, of the archives inside them."""
+    if options.recursion:
+        return expanded(files, embedded.DEPTH)
+    return files.select("filename", F.coalesce("content", F.unhex(F.lit(""))).alias("content"), F.lit("").alias("path"))
+
+
 def file_rows(files: DataFrame, options: Options, held: BlockSet | None = None, whitelist: BlockSet | None = None) -> Rows:
     """Events, sources and names of (filename, content) rows and of the archives inside them.
 
     Files of equal content are one source with several names, cut once.  Sources that ``held`` has are named but not cut.
+    Content is read twice, once for the list of files and once for the blocks; both go to tables of the shared folder, so
+    what follows shuffles hashes and never content.  A list of files above the broadcast limit costs a shuffle of content.
     """
-    rows = expanded(files, embedded.DEPTH if options.recursion else 0)
-    rows = rows.withColumn("file_hash", F.unhex(F.md5("content")))
-    names = rows.select("file_hash", F.lit(options.repository).alias("repository_name"), "filename").distinct()
-    new = rows
+    whole = _opened(files, options).withColumn("file_hash", F.unhex(F.md5("content")))
+    listed = materialise(whole.select("file_hash", "filename", F.length("content").cast("long").alias("filesize")), "files")
+    names = listed.select("file_hash", F.lit(options.repository).alias("repository_name"), "filename").distinct()
+    new = listed
     if held is not None:
         new = new.join(held.source.select("file_hash"), "file_hash", "left_anti")
-    first = new.groupBy("file_hash").agg(F.min("filename").alias("first"))
-    new = new.join(first.select(F.col("file_hash").alias("h"), "first"), (F.col("file_hash") == F.col("h")) & (F.col("filename") == F.col("first")), "left_semi")
-    sized = new.select("file_hash", F.length("content").cast("long").alias("filesize"), "content")
-    cut = blocks.cut(sized, "content", options.block_size, options.step)
+    new = new.groupBy("file_hash", "filesize").agg(F.min("filename").alias("filename"))
+    wanted = small(new.select("file_hash", "filename"), F.length("filename") + 64)
+    cut = blocks.cut(whole.join(wanted, ["file_hash", "filename"], "left_semi").select("file_hash", "content"), "content", options.block_size, options.step)
     cut = cut.withColumn("zero", blocks.is_zero("block", options.strict_compat))
-    if options.with_entropy or options.with_labels:
-        features = block_features("block", options.block_size, options.with_entropy, options.with_labels)
-    else:
-        features = F.struct(F.lit(0).cast("long").alias("k_entropy"), F.lit("").alias("block_label"))
-    full = cut.where(~F.col("zero")).withColumn("f", features).withColumn("block_hash", blocks.digest("block", options.block_size))
-    full = full.select("file_hash", "block_hash", F.col("f.k_entropy").alias("k_entropy"), F.col("f.block_label").alias("block_label"), "offset")
+    cut = cut.withColumn("block_hash", F.when(~F.col("zero"), blocks.digest("block", options.block_size)))
+    cut = cut.withColumn("f", block_features("block", options.block_size, options.with_entropy, options.with_labels))
+    cut = materialise(cut.select("file_hash", "block_hash", "f.k_entropy", "f.block_label", "offset", "zero"), "blocks")
+    full = cut.where(~F.col("zero"))
     if whitelist is not None:
         full = full.join(whitelist.hash.select("block_hash", F.lit(True).alias("white")), "block_hash", "left")
         full = full.withColumn("block_label", F.when(F.col("white"), F.concat("block_label", F.lit("w"))).otherwise(F.col("block_label"))).drop("white")
     events = full.withColumn("sub_count", F.lit(1).cast("long")).withColumn("seq", F.col("offset"))
-    zeros = cut.groupBy("file_hash").agg(F.count_if("zero").alias("zero_count"))
-    flagged = events.groupBy("file_hash").agg(F.count_if(F.col("block_label") != "").alias("nonprobative_count"))
+    zeros = cut.where("zero").groupBy("file_hash").agg(F.count("*").alias("zero_count"))
+    flagged = events.where(F.col("block_label") != "").groupBy("file_hash").agg(F.count("*").alias("nonprobative_count"))
     nothing = F.lit(0).cast("long")
-    sources = sized.select("file_hash", "filesize").join(zeros, "file_hash", "left").join(flagged, "file_hash", "left")
+    sources = new.join(zeros, "file_hash", "left").join(flagged, "file_hash", "left")
     sources = sources.select("file_hash", "filesize", F.lit("").alias("file_type"), F.coalesce("zero_count", nothing).alias("zero_count"), F.coalesce("nonprobative_count", nothing).alias("nonprobative_count"), nothing.alias("seq"))
     return Rows(events.select("block_hash", "k_entropy", "block_label", "file_hash", "sub_count", "seq"), sources, names)
 
@@ -78,13 +85,15 @@ def ingest(files: DataFrame, dest: BlockSet, options: Options, whitelist: BlockS
 def media_blocks(files: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
     """(filename, label, offset, block_hash) of all blocks that aren't zeros, and the number of those that are.
 
-    The label is the offset, behind the path of the archive that holds the block.
+    The label is the offset, behind the path of the archive that holds the block.  The media are read once.
     """
-    rows = expanded(files, embedded.DEPTH if options.recursion else 0)
+    rows = _opened(files, options)
     cut = blocks.cut(rows.select("filename", "path", "content"), "content", options.block_size, options.step)
     cut = cut.withColumn("zero", blocks.is_zero("block", options.strict_compat))
+    cut = cut.withColumn("block_hash", F.when(~F.col("zero"), blocks.digest("block", options.block_size)))
+    cut = materialise(cut.drop("block"), "media-blocks")
     label = F.when(F.col("path") == "", F.col("offset").cast("string")).otherwise(F.concat_ws("-", "path", F.col("offset").cast("string")))
-    probes = cut.where(~F.col("zero")).select("filename", "path", "offset", label.alias("label"), blocks.digest("block", options.block_size).alias("block_hash"))
+    probes = cut.where(~F.col("zero")).select("filename", "path", "offset", label.alias("label"), "block_hash")
     return probes, cut.agg(F.count_if("zero").alias("zero_count"))
 
 

@@ -102,14 +102,15 @@ def expanded(held: BlockSet, probes: DataFrame, shown: DataFrame | None = None)
     """
     wanted = probes.select("block_hash").distinct()
     pairs = held.hash_source.join(wanted, "block_hash", "left_semi")
-    texts = source_json(BlockSet(held.hash, held.hash_source, held.source.join(pairs, "file_hash", "left_semi"), held.source_name.join(pairs, "file_hash", "left_semi")))
-    pairs = pairs.join(texts, "file_hash")
-    if shown is not None:
-        pairs = pairs.join(shown.select("block_hash", "file_hash", F.lit(True).alias("show")), ["block_hash", "file_hash"], "left")
+    # Only pairs that are shown carry text through the shuffle by hash; those not shown have null.
+    full = (pairs if shown is None else shown).select("file_hash")
+    texts = source_json(BlockSet(held.hash, held.hash_source, held.source.join(full, "file_hash", "left_semi"), held.source_name.join(full, "file_hash", "left_semi")))
+    if shown is None:
+        pairs = pairs.join(texts, "file_hash")
     else:
-        pairs = pairs.withColumn("show", F.lit(True))
-    listed = pairs.groupBy("block_hash").agg(F.array_sort(F.collect_list(F.struct("file_hash", "sub_count", "json", "show"))).alias("pairs"))
-    printed = F.transform(F.filter("pairs", lambda p: p["show"]), lambda p: p["json"])
+        pairs = pairs.join(shown.select("block_hash", "file_hash").join(texts, "file_hash"), ["block_hash", "file_hash"], "left")
+    listed = pairs.groupBy("block_hash").agg(F.array_sort(F.collect_list(F.struct("file_hash", "sub_count", "json"))).alias("pairs"))
+    printed = F.transform(F.filter("pairs", lambda p: p["json"].isNotNull()), lambda p: p["json"])
     files = F.transform("pairs", lambda p: p["file_hash"])
     members = {
         "block_hash": codec.json_hex("block_hash"),

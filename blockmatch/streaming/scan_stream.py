@@ -58,6 +58,9 @@ def scan_stream(probes: DataFrame, held: BlockSet, mode: ScanMode = ScanMode.EXP
 
     In the optimised mode a hash is given in full when it is first seen in the stream and bare afterwards;
     the state is one row for each hash seen.
+
+    The modes with sources write the expanded set to a table once, before the stream starts, and each micro-batch joins that.
+    Where the set is much larger than what a stream asks for, ``ScanSession.sink`` expands only each batch's hashes.
     """
     short = {"block_hash": codec.json_hex("block_hash")}
     if mode is ScanMode.COUNT:
@@ -66,7 +69,7 @@ def scan_stream(probes: DataFrame, held: BlockSet, mode: ScanMode = ScanMode.EXP
     if mode is ScanMode.APPROXIMATE_COUNT:
         found = probes.withColumn("prefix", codec.prefix("block_hash")).join(scan.prefixes(held), "prefix")
         return found.select("block_hash", "label", codec.json_object(**short, approximate_count=codec.code_to_count("count_code")).alias("json"))
-    texts = scan.expanded(held, held.hash).select("block_hash", "json")
+    texts = materialise(scan.expanded(held, held.hash).select("block_hash", "json"), "expanded")
     if mode is ScanMode.EXPANDED:
         return probes.join(texts, "block_hash")
     known = probes.join(held.hash.select("block_hash"), "block_hash", "left_semi")
